@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, simhash, substring
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,13 +23,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a near-duplicate of lower id in its group, and the group's least id."""
+    return simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: one row for each copy of a document."""
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), copy="copy").select("doc_id", "source", "copy")
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of 50 words or more that an earlier document has."""
+    return substring.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_counts, op7_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op4_token_counts, op5_simhash, op7_mixing, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
