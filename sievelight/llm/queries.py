@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, simhash, substring
+from . import bpe, linededup, mixing, simhash, substring
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens", "token_ids", "round_trip")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that an earlier line matches, and such a line."""
+    return linededup.removed(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
     return bpe.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
@@ -39,7 +44,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_token_counts, op5_simhash, op7_mixing, op10_substring)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_token_counts, op5_simhash, op7_mixing, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:

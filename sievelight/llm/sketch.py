@@ -63,3 +63,34 @@ def frequencies(df: DataFrame, text: str, hashes: Callable[[pa.Array], np.ndarra
         rows = rows.withColumn("part", (F.col("part") / 32).cast("int")).repartition(nodes, "part").mapInArrow(merge, _ROW)
     got = rows.collect()  # one array at most
     return np.frombuffer(got[0].cells, np.uint32) if got else np.zeros(cells, np.uint32)
+
+
+def presence(df: DataFrame, column: str, hashes: Callable[[pa.Array], np.ndarray], cells: int = CELLS * 8) -> np.ndarray:
+    """0 or 1 by hash modulo `cells`: which cells some value of the column falls into."""
+    mask = np.uint64(cells - 1)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        seen = np.zeros(cells, np.uint8)
+        for b in batches:
+            seen[(hashes(b.column(column)) & mask).astype(np.int64)] = 1
+        if seen.any():
+            yield _row(TaskContext.get().partitionId(), np.packbits(seen))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, got in zip(b.column("part").to_pylist(), b.column("cells")):
+                new = np.frombuffer(got.as_buffer(), np.uint8)
+                whole[part] = whole[part] | new if part in whole else new
+        for part, bits in whole.items():
+            yield _row(part, bits)
+
+    narrow = df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull())
+    rows, nodes = narrow.mapInArrow(mark, _ROW), narrow.rdd.getNumPartitions()
+    while nodes > 1:
+        nodes = -(-nodes // 32)
+        rows = rows.withColumn("part", (F.col("part") / 32).cast("int")).repartition(nodes, "part").mapInArrow(merge, _ROW)
+    got = rows.collect()
+    return np.unpackbits(np.frombuffer(got[0].cells, np.uint8)) if got else np.zeros(cells, np.uint8)
