@@ -36,7 +36,7 @@ from .text import chunked, mix64, powers, ranges, ship, span_hashes, utf8, word_
 
 #: Words of the shortest duplicate span.
 LEAST = 50
-_CHUNK = 8 << 20
+_CHUNK = 2 << 20
 _ROUTED = T.StructType([T.StructField("block", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("anchors", "ids", "starts", "runs", "windows")], T.StructField("a", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("ra", T.LongType()), T.StructField("rs", T.IntegerType())])
 _FACTORS = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("ra", T.LongType()), T.StructField("rs", T.IntegerType())])
 

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Text bytes handled at once; a longer document makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
+#: Text bytes hashed at once.
+SEGMENT_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -81,11 +83,20 @@ def _byte_codes(seed: int) -> np.ndarray:
 
 
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 11) -> np.ndarray:
-    """A 64-bit hash of each byte span raw[start:end]; equal bytes give equal hashes."""
-    up, down = powers(len(raw) + 1)
-    acc = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_codes(seed)[raw] * up[: len(raw)], out=acc[1:])
-    return mix64((acc[end] - acc[start]) * down[start] + (end - start).astype(np.uint64))
+    """A 64-bit hash of each byte span raw[start:end], starts ascending; equal bytes give equal hashes."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):  # by segments, so that the arrays for a very long text stay small
+        low = start[at]
+        stop = max(at + 1, int(np.searchsorted(start, low + SEGMENT_BYTES)))
+        s, e = start[at:stop] - low, end[at:stop] - low
+        size = int(e.max()) if stop - at > 1 else int(e[0])
+        up, down = powers(size + 1)
+        acc = np.zeros(size + 1, np.uint64)
+        np.cumsum(_byte_codes(seed)[raw[low : low + size]] * up[:size], out=acc[1:])
+        out[at:stop] = mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64))
+        at = stop
+    return out
 
 
 def _classes(plain: bool) -> np.ndarray:
