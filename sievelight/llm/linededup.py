@@ -5,7 +5,7 @@ Jaccard similarity of their sets is `threshold` at least. Words are ordered by r
 lines, and a line enters the join under the words of its prefix only: with n words, any match
 shares one of the n - ceil(threshold * n) + 1 rarest. Under each word, lines meet those of a
 size that the threshold allows (length filter), unless the places of the word in both leave too
-few words to share (positional filter) or 64 parity bits of the sets already differ in more bits
+few words to share (positional filter) or 128 parity bits of the sets already differ in more bits
 than matching sets can (bitmap filter). None of the filters drops a match. What is left is
 verified on the whole sets. A line goes when any earlier line, by (id, number), matches it.
 
@@ -65,8 +65,9 @@ def line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return row, number, np.append(first, len(word)), word
 
 
-def all_words(column: pa.Array) -> np.ndarray:
-    return line_words(column)[3]
+def word_hashes(column: pa.Array) -> np.ndarray:
+    raw, off = utf8(lower(column))
+    return span_hashes(raw, *word_spans(raw, np.union1d(off, np.flatnonzero(raw == 10)), True))
 
 
 def _rarity(count: np.ndarray) -> np.ndarray:
@@ -75,14 +76,29 @@ def _rarity(count: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(count < 1024, count, 1024 + (np.log2(np.maximum(count, 1024)) - 10) * 128), 4095).astype(np.uint64)
 
 
-_PREFIX = [("word", np.uint64), ("doc", np.int64), ("line", np.int32), ("set", np.uint64), ("bits", np.uint64), ("n", np.int32), ("pos", np.uint32)]
-_PAIR = T.StructType([T.StructField(c, t) for c, t in (("a", T.LongType()), ("al", T.IntegerType()), ("b", T.LongType()), ("bl", T.IntegerType()), ("equal", T.BooleanType()))])
-_BLOCKS = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c, _ in _PREFIX], *_PAIR.fields])
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes by place, so that the many equal high ones lie together for compression."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
 
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
-def _pairs(a: np.ndarray, al: np.ndarray, b: np.ndarray, bl: np.ndarray, equal: bool) -> list[pa.Array]:
-    return [pa.array(a, pa.int64()), pa.array(al, pa.int32()), pa.array(b, pa.int64()), pa.array(bl, pa.int32()), pa.array(np.full(len(a), equal))]
+
+def _blobs(block: np.ndarray, columns: list[np.ndarray]) -> list[pa.Array]:
+    """One row for each block: its number, and its part of each column, packed."""
+    order = np.argsort(block, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0)) if len(block) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(order))
+    parts = [[_pack(c[lo:hi]) for lo, hi in zip(cuts, ends)] for c in (x[order] for x in columns)]
+    return [pa.array(block[order[cuts]], pa.int64()), *[pa.array(x, pa.binary()) for x in parts]]
+
+
+_PREFIX = [("word", np.uint64), ("doc", np.int64), ("line", np.int32), ("set", np.uint64), ("bits", np.uint64), ("more", np.uint64), ("n", np.int32), ("pos", np.uint32)]
+_ENDS = [("a", np.int64), ("al", np.int32), ("b", np.int64), ("bl", np.int32)]
+_FOUND = T.StructType([T.StructField("home", T.LongType()), *[T.StructField(c, T.BinaryType()) for c, _ in _ENDS], T.StructField("equal", T.BooleanType())])
+_PAIR = T.StructType([T.StructField(c, t) for c, t in (("a", T.LongType()), ("al", T.IntegerType()), ("b", T.LongType()), ("bl", T.IntegerType()), ("equal", T.BooleanType()))])
+_BLOCKS = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c, _ in _PREFIX], *_FOUND.fields])
 
 
 def _settle(order: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -93,57 +109,88 @@ def _settle(order: np.ndarray, same: np.ndarray) -> np.ndarray:
     return out
 
 
-def join_block(t: float, word: np.ndarray, doc: np.ndarray, line: np.ndarray, kind: np.ndarray, bits: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _runs(fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs that begin where fresh is true."""
+    start = np.flatnonzero(fresh)
+    return start, np.diff(np.append(start, len(fresh)))
+
+
+def join_block(t: float, word: np.ndarray, doc: np.ndarray, line: np.ndarray, kind: np.ndarray, bits: np.ndarray, more: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """(equal lines, candidate pairs), each as (a, al, b, bl) with a the earlier, of one block's entries."""
-    order = np.lexsort((line, doc, kind, n, word))
-    word, doc, line, kind, bits, n, pos = (x[order] for x in (word, doc, line, kind, bits, n, pos))
-    same = np.append(False, (word[1:] == word[:-1]) & (kind[1:] == kind[:-1]) & (n[1:] == n[:-1]))[: len(word)]
-    lead = (pos & _LEAD) > 0
-    pos = (pos & ~_LEAD).astype(np.int64)
-    first = _settle(np.arange(len(word)), same)
-    copy = np.flatnonzero(same & lead & ((doc != doc[first]) | (line != line[first])))
-    equal = [doc[first[copy]], line[first[copy]], doc[copy], line[copy]]
-    word, doc, line, bits, n, pos = (x[~same] for x in (word, doc, line, bits, n, pos))
-    n = n.astype(np.int64)
-    fresh = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.zeros(0, np.int64)
-    end = np.repeat(np.append(fresh[1:], len(word)), np.diff(np.append(fresh, len(word))))
-    # Within a word, entries ascend by size: partners of i are i+1 up to the last that is small enough.
-    group = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(word))))
-    code = (group << 32) + n
-    reach = np.minimum(end, np.searchsorted(code, (group << 32) + np.floor(n / t + _EPS).astype(np.int64), "right"))
-    many = np.maximum(reach - np.arange(len(word)) - 1, 0)
-    out: list[list[np.ndarray]] = [[], [], [], []]
+    if not len(word):
+        return [np.zeros(0, k) for _, k in _ENDS], [np.zeros(0, k) for _, k in _ENDS]
+    low = np.uint64((1 << 20) - 1)
+    # Words that agree in 44 bits count as one here: that adds candidates, and loses none.
+    code = (word & ~low) | np.minimum(n, (1 << 20) - 1).astype(np.uint64)
+    order = np.lexsort((kind, code))
+    fresh = np.append(True, (code[order][1:] != code[order][:-1]) | (kind[order][1:] != kind[order][:-1]))
+    start, size = _runs(fresh)
+    multi = np.flatnonzero(np.repeat(size > 1, size))
+    if len(multi):  # equal sets: the earliest line first
+        run = np.repeat(np.arange(len(size)), size)[multi]
+        e = order[multi]
+        order[multi] = e[np.lexsort((line[e], doc[e], run))]
+    first = np.repeat(order[start], size)[multi] if len(multi) else multi
+    e = order[multi]
+    copy = ((pos[e] & _LEAD) > 0) & ((doc[e] != doc[first]) | (line[e] != line[first]))
+    equal = [doc[first[copy]], line[first[copy]], doc[e[copy]], line[e[copy]]]
+    order = order[start]
+    code, doc, line, bits, more, n = (x[order] for x in (code, doc, line, bits, more, n))
+    pos = (pos[order] & ~_LEAD).astype(np.int32)
+    # Under a word entries ascend by size: partners of i are i+1 up to the last that is small enough.
+    most = np.minimum(np.floor(n / t + _EPS), (1 << 20) - 1).astype(np.uint64)
+    many = np.searchsorted(code, (code & ~low) | most, "right") - np.arange(len(code)) - 1
+    bound = (n * ((1 - t) / (1 + t)) + _EPS).astype(np.float32)
+    out: list[list[np.ndarray]] = [[], []]
     total = np.cumsum(many)
     at = 0
-    while at < len(word):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 21), "right")))
-        i = np.repeat(np.arange(at, stop), many[at:stop])
-        j = i + 1 + ranges(many[at:stop])
+    while at < len(code):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+        m = many[at:stop]
+        j = np.repeat(np.arange(at + 1, stop + 1), m) + ranges(m)
+        differ = np.bitwise_count(np.repeat(bits[at:stop], m) ^ bits[j])
+        differ += np.bitwise_count(np.repeat(more[at:stop], m) ^ more[j])
+        ok = np.flatnonzero(differ <= np.repeat(bound[at:stop], m) + bound[j])
+        i, j = np.repeat(np.arange(at, stop), m)[ok], j[ok]
         need = np.ceil(t / (1 + t) * (n[i] + n[j]) - _EPS)
-        could = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-        ok = (np.bitwise_count(bits[i] ^ bits[j]) <= n[i] + n[j] - 2 * need) & (could >= need)
-        i, j = i[ok], j[ok]
-        swap = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        for column, value in zip(out, (doc[i], line[i], doc[j], line[j])):
-            column.append(value)
+        ok = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+        out[0].append(i[ok])
+        out[1].append(j[ok])
         at = stop
-    found = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    if len(found[0]):
-        order = np.lexsort(found)
-        fresh = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in found], axis=0))
-        found = [x[order][fresh] for x in found]
-    return equal, found
+    i, j = (np.concatenate(x) for x in out)
+    swap = (doc[j] < doc[i]) | ((doc[j] == doc[i]) & (line[j] < line[i]))
+    i, j = np.where(swap, j, i), np.where(swap, i, j)
+    return equal, [doc[i], line[i], doc[j], line[j]]
+
+
+def _home(b: np.ndarray, bl: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix64(b.astype(np.uint64) + mix64(bl.astype(np.uint64))) % np.uint64(blocks)).astype(np.int64)
+
+
+def _found(ends: list[np.ndarray], equal: bool, blocks: int) -> list[pa.Array]:
+    ends = [x.astype(k, copy=False) for x, (_, k) in zip(ends, _ENDS)]
+    rows = _blobs(_home(ends[2], ends[3], blocks), ends)
+    return [*rows, pa.array([equal] * len(rows[0]), pa.bool_())]
+
+
+def _distinct(ends: list[np.ndarray], keys: tuple[int, ...]) -> list[np.ndarray]:
+    """The first of the rows that agree in the columns `keys`, in ascending order of (bl, b, al, a)."""
+    order = np.lexsort([ends[k] for k in (1, 0, 3, 2)])
+    ends = [x[order] for x in ends]
+    fresh = np.append(True, np.any([ends[k][1:] != ends[k][:-1] for k in keys], axis=0))[: len(order)]
+    return [x[fresh] for x in ends]
 
 
 def candidates(df: DataFrame, threshold: float) -> DataFrame:
-    """Rows (a, al, b, bl, equal) over df (id, text): lines that match if equal, or may match."""
+    """Rows (a, al, b, bl, equal) over df (id, text): lines that match, being equal, or may match."""
     blocks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.sparkSession.sparkContext.broadcast(sketch.frequencies(df, "text", all_words))  # 4 MB for any corpus
+    counts = df.sparkSession.sparkContext.broadcast(sketch.frequencies(df, "text", word_hashes))  # 4 MB for any corpus
     names = [f.name for f in _BLOCKS]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
+        # A word counted once is in no other line.
+        rare = _rarity(count) << np.uint64(30)
         for b in chunked(batches, "text"):
             row, number, first, word = line_words(b.column("text"))
             if not len(row):
@@ -152,7 +199,9 @@ def candidates(df: DataFrame, threshold: float) -> DataFrame:
             doc = b.column("id").to_numpy()[row]
             mixed = mix64(word + np.uint64(5))
             kind = np.add.reduceat(mixed, first[:-1])
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), first[:-1])
+            bit = np.uint64(1) << (mixed >> np.uint64(58))
+            half = (mixed & np.uint64(1)) > 0
+            bits, more = (np.bitwise_xor.reduceat(np.where(h, bit, np.uint64(0)), first[:-1]) for h in (half, ~half))
             # Lines equal to an earlier one of the chunk are settled here.
             order = np.lexsort((number, doc, kind, n))
             same = np.append(False, (kind[order][1:] == kind[order][:-1]) & (n[order][1:] == n[order][:-1]))
@@ -160,54 +209,64 @@ def candidates(df: DataFrame, threshold: float) -> DataFrame:
             alone = origin == np.arange(len(row))
             copy = np.flatnonzero(~alone & ((doc != doc[origin]) | (number != number[origin])))
             if len(copy):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(copy), pa.int64()), *[pa.nulls(len(copy), pa.binary())] * len(_PREFIX)] + _pairs(doc[origin[copy]], number[origin[copy]], doc[copy], number[copy], True), names)
+                rows = _found([doc[origin[copy]], number[origin[copy]], doc[copy], number[copy]], True, blocks)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows[0]), pa.int64()), *[pa.nulls(len(rows[0]), pa.binary())] * len(_PREFIX), *rows], names)
             line = np.repeat(np.arange(len(row)), n)
             keep = alone[line]
             line, word = line[keep], word[keep]
-            often = count[(word & np.uint64(len(count) - 1)).astype(np.int64)]
-            order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | (_rarity(often) << np.uint64(30)) | (word >> np.uint64(34)))
-            line, word, often = line[order], word[order], often[order]
+            cell = (word & np.uint64(len(count) - 1)).astype(np.int64)
+            order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | rare[cell] | (word >> np.uint64(34)))
             begin = np.cumsum(np.where(alone, n, 0)) - np.where(alone, n, 0)
+            line = line[order]
             place = np.arange(len(line)) - begin[line]
-            size = n[line]
-            # A word counted once is in no other line.
-            use = (place < size - np.ceil(threshold * size - _EPS) + 1) & (often > 1)
-            line, word, place = line[use], word[use], place[use].astype(np.uint32)
+            prefix = n - np.ceil(threshold * n - _EPS).astype(np.int64) + 1
+            use = np.flatnonzero(place < prefix[line])
+            use = use[count[cell[order[use]]] > 1]
+            line, word, place = line[use], word[order[use]], place[use].astype(np.uint32)
             if not len(line):
                 continue
             place[np.append(True, line[1:] != line[:-1])] |= _LEAD
-            block = (word % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
-            columns = dict(word=word, doc=doc[line], line=number[line], set=kind[line], bits=bits[line], n=n[line], pos=place)
-            out: list[list] = [[] for _ in range(1 + len(_PREFIX))]
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-                h = order[lo:hi]
-                out[0].append(int(block[h[0]]))
-                for held, (name, dtype) in zip(out[1:], _PREFIX):
-                    held.append(columns[name][h].astype(dtype).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]] + [pa.nulls(len(out[0]), t) for t in _KINDS], names)
+            rows = _blobs((word % np.uint64(blocks)).astype(np.int64), [word, doc[line], number[line].astype(np.int32), kind[line], bits[line], more[line], n[line].astype(np.int32), place])
+            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.int64()), *[pa.nulls(len(rows[0]), pa.binary())] * len(_ENDS), pa.nulls(len(rows[0]), pa.bool_())], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
         for b in batches:
-            done = b.filter(pc.is_valid(b.column("a")))
+            done = b.filter(pc.is_valid(b.column("home")))
             if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(f.name) for f in _PAIR], [f.name for f in _PAIR])
+                yield pa.RecordBatch.from_arrays([done.column(f.name) for f in _FOUND], [f.name for f in _FOUND])
             b = b.filter(pc.is_valid(b.column("block")))
             for block, *parts in zip(*[b.column(n).to_pylist() for n in names[: 1 + len(_PREFIX)]]):
-                held.setdefault(block, []).append([np.frombuffer(p, t) for p, (_, t) in zip(parts, _PREFIX)])
+                held.setdefault(block, []).append(parts)
+        pairs: list[list[np.ndarray]] = []
         while held:
             _, pieces = held.popitem()
-            word, doc, line, kind, bits, n, pos = (np.concatenate(x) for x in zip(*pieces))
+            columns = [np.concatenate([_unpack(p, k) for p in column]) for column, (_, k) in zip(zip(*pieces), _PREFIX)]
             del pieces
-            equal, found = join_block(threshold, word, doc, line, kind, bits, n, pos)
-            for rows, sure in ((equal, True), (found, False)):
-                for lo in range(0, len(rows[0]), 1 << 18):
-                    yield pa.RecordBatch.from_arrays(_pairs(*[x[lo : lo + (1 << 18)] for x in rows], sure), [f.name for f in _PAIR])
+            equal, found = join_block(threshold, *columns)
+            pairs.append(found)
+            if len(equal[0]):
+                yield pa.RecordBatch.from_arrays(_found(equal, True, blocks), [f.name for f in _FOUND])
+            if sum(len(p[0]) for p in pairs) > 1 << 21 or not held:
+                found = _distinct([np.concatenate(x) for x in zip(*pairs)], (0, 1, 2, 3))
+                pairs = [found]
+                if len(found[0]) > 1 << 20 or not held:
+                    yield pa.RecordBatch.from_arrays(_found(found, False, blocks), [f.name for f in _FOUND])
+                    pairs = []
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for home, a, al, c, cl, equal in zip(*[b.column(f.name).to_pylist() for f in _FOUND]):
+                held.setdefault((home, equal), []).append((a, al, c, cl))
+        while held:
+            (_, equal), pieces = held.popitem()
+            ends = [np.concatenate([_unpack(p, k) for p in column]) for column, (_, k) in zip(zip(*pieces), _ENDS)]
+            ends = _distinct(ends, (2, 3) if equal else (0, 1, 2, 3))
+            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(ends[2]), pa.array(ends[3]), pa.array(np.full(len(ends[0]), equal))], [f.name for f in _PAIR])
 
-    spread_rows = df.mapInArrow(spread, _BLOCKS)
-    return spread_rows.repartition(F.coalesce("block", F.xxhash64("b", "bl"))).mapInArrow(meet, _PAIR)
+    met = df.mapInArrow(spread, _BLOCKS).repartition(F.coalesce("block", "home")).mapInArrow(meet, _FOUND)
+    return met.repartition("home").mapInArrow(settle, _PAIR)
 
 
 def jaccard(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -227,6 +286,14 @@ _WORDS = T.StructType([T.StructField("x", T.LongType()), T.StructField("xl", T.I
 _MATCH = T.StructType([T.StructField("b", T.LongType()), T.StructField("bl", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("al", T.IntegerType())])
 
 
+def _of_doc(doc: pa.Array) -> np.ndarray:
+    return mix64(doc.to_numpy().astype(np.uint64))
+
+
+def _of_line(doc: pa.Array, line: pa.Array) -> np.ndarray:
+    return mix64(_of_doc(doc) + mix64(line.to_numpy().astype(np.uint64) + np.uint64(1)))
+
+
 def _verified(df: DataFrame, maybe: DataFrame, threshold: float) -> DataFrame:
     """(b, bl, a, al): of each line b of the candidate pairs the earliest line that matches it."""
     # The pairs of b meet at the earliest of its partners; in a group of alike lines that's one place.
@@ -234,22 +301,20 @@ def _verified(df: DataFrame, maybe: DataFrame, threshold: float) -> DataFrame:
     homed = maybe.withColumn("home", F.min(F.struct("a", "al")).over(by_b)).select("home", "a", "al", "b", "bl")
     ends = homed.select("home", F.col("a").alias("x"), F.col("al").alias("xl")).union(homed.select("home", "b", "bl")).distinct()
 
-    def line_hashes(column: pa.Array) -> np.ndarray:
-        return mix64(column.to_numpy().astype(np.uint64))
-
-    docs = maybe.select(F.col("a").alias("x")).union(maybe.select("b"))
-    # Cells of the documents that have candidates: of fixed size, and only spares work.
-    needed = df.sparkSession.sparkContext.broadcast(np.packbits(sketch.presence(docs, "x", line_hashes)))
+    # Cells of the documents and lines that have candidates: of fixed size, and only spares work.
+    needed = df.sparkSession.sparkContext.broadcast(sketch.presence(maybe.select("a", "al", "b", "bl"), lambda r: np.concatenate([_of_doc(r["a"]), _of_doc(r["b"]), _of_line(r["a"], r["al"]), _of_line(r["b"], r["bl"])])))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.unpackbits(needed.value)
+        low = np.uint64(len(cells) - 1)
         for b in batches:
-            cell = (line_hashes(b.column("id")) & np.uint64(len(cells) - 1)).astype(np.int64)
-            b = b.filter(pa.array(cells[cell] > 0))
+            b = b.filter(pa.array(cells[(_of_doc(b.column("id")) & low).astype(np.int64)] > 0))
             for c in chunked([b], "text"):
                 row, number, first, word = line_words(c.column("text"))
+                doc, number = c.column("id").take(pa.array(row)), pa.array(number, pa.int32())
                 flat = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((8 * first).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(word))])
-                yield pa.RecordBatch.from_arrays([c.column("id").take(pa.array(row)), pa.array(number, pa.int32()), flat], [f.name for f in _WORDS])
+                some = pa.array(cells[(_of_line(doc, number) & low).astype(np.int64)] > 0)
+                yield pa.RecordBatch.from_arrays([doc, number, flat], [f.name for f in _WORDS]).filter(some)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[tuple, np.ndarray] = {}
@@ -282,7 +347,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold
     rows = ship(df).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
     pairs = cut(candidates(rows, threshold))
     sure = pairs.where("equal").select("b", "bl", "a", "al")
-    found = sure.union(_verified(rows, pairs.where("not equal").select("a", "al", "b", "bl").distinct(), threshold))
+    found = sure.union(_verified(rows, pairs.where("not equal").select("a", "al", "b", "bl"), threshold))
     out = found.groupBy("b", "bl").agg(F.min(F.struct("a", "al")).alias("m"))
     return out.select(F.col("b").alias(id_col), F.col("bl").alias("line"), F.col("m.a").alias("match_id"), F.col("m.al").alias("match_line"))
 

@@ -65,8 +65,8 @@ def frequencies(df: DataFrame, text: str, hashes: Callable[[pa.Array], np.ndarra
     return np.frombuffer(got[0].cells, np.uint32) if got else np.zeros(cells, np.uint32)
 
 
-def presence(df: DataFrame, column: str, hashes: Callable[[pa.Array], np.ndarray], cells: int = CELLS * 8) -> np.ndarray:
-    """0 or 1 by hash modulo `cells`: which cells some value of the column falls into."""
+def presence(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], cells: int = CELLS * 8) -> np.ndarray:
+    """Bits, packed, by hash modulo `cells`: which cells some hash of the rows of df falls into."""
     mask = np.uint64(cells - 1)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def presence(df: DataFrame, column: str, hashes: Callable[[pa.Array], np.ndarray
 
         seen = np.zeros(cells, np.uint8)
         for b in batches:
-            seen[(hashes(b.column(column)) & mask).astype(np.int64)] = 1
+            seen[(hashes(b) & mask).astype(np.int64)] = 1
         if seen.any():
             yield _row(TaskContext.get().partitionId(), np.packbits(seen))
 
@@ -87,10 +87,9 @@ def presence(df: DataFrame, column: str, hashes: Callable[[pa.Array], np.ndarray
         for part, bits in whole.items():
             yield _row(part, bits)
 
-    narrow = df.select(F.col(f"`{column}`")).where(F.col(f"`{column}`").isNotNull())
-    rows, nodes = narrow.mapInArrow(mark, _ROW), narrow.rdd.getNumPartitions()
+    rows, nodes = df.mapInArrow(mark, _ROW), df.rdd.getNumPartitions()
     while nodes > 1:
         nodes = -(-nodes // 32)
         rows = rows.withColumn("part", (F.col("part") / 32).cast("int")).repartition(nodes, "part").mapInArrow(merge, _ROW)
     got = rows.collect()
-    return np.unpackbits(np.frombuffer(got[0].cells, np.uint8)) if got else np.zeros(cells, np.uint8)
+    return np.frombuffer(got[0].cells, np.uint8) if got else np.zeros(cells // 8, np.uint8)
