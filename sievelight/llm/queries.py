@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, simhash, substring
+from . import bpe, langid, linededup, mixing, simhash, substring, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,13 +44,19 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), langid.train(docs)).select("doc_id", "language", "score", "lead")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, and whether it reaches the threshold."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels"))).select("doc_id", "score", "is_toxic")
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span of 50 words or more that an earlier document has."""
     return substring.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_token_counts, op5_simhash, op7_mixing, op8_language_id, op10_substring)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_token_counts, op5_simhash, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
