@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, mixing, simhash, substring, toxicity
+from . import bpe, embeddings, langid, linededup, mixing, simhash, substring, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with a near-duplicate of lower id in its group, and the group's least id."""
+    return embeddings.groups(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: one row for each copy of a document."""
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), copy="copy").select("doc_id", "source", "copy")
@@ -56,7 +61,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_token_counts, op5_simhash, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_token_counts, op5_simhash, op6_embeddings, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
