@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, langid, linededup, mixing, simhash, substring, toxicity
+from . import bpe, embeddings, fingerprint, langid, linededup, mixing, simhash, substring, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.removed(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of every document, and the benchmark item that it overlaps most, with the score."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rank = fingerprint.rarity(docs)
+    items = fingerprint.digests(read(spark, sf_dir, "benchmark").select("item_id", "text"), rank)
+    return fingerprint.match(fingerprint.digests(docs, rank).select("doc_id", "n_features", "digest"), items)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
     return bpe.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
@@ -61,7 +69,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op4_token_counts, op5_simhash, op6_embeddings, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_fingerprints, op4_token_counts, op5_simhash, op6_embeddings, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
