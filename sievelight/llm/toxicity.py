@@ -43,6 +43,7 @@ TURNS, EPOCHS, BATCH, RATE, DECAY = 3, 4, 2048, 0.1, 1e-4
 #: How often an error in a clean document counts for the threshold: such documents are the most.
 CLEAN = 10
 CACHED = 1 << 19
+_DOCS = 128  # texts whose n-grams are told apart at once
 
 
 def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +138,19 @@ def document_scores(which: np.ndarray, doc: np.ndarray, n: int, word: np.ndarray
     return out
 
 
+def _doc_counts(w: Words, rows: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
+    """In how many of n texts each row's n-grams are, _DOCS texts at a time, each in one of the turns."""
+    first = np.cumsum(many) - many
+    out = np.zeros(ROWS, np.int32)
+    for lo in range(0, n, _DOCS):
+        i, j = np.searchsorted(w.doc, [lo, lo + _DOCS])
+        pair = np.unique((w.doc[i:j] - lo) * len(w.key) + w.which[i:j])
+        word, at = pair % len(w.key), pair // len(w.key)
+        seen = np.unique(np.repeat(at, many[word]) * ROWS + rows[np.repeat(first[word], many[word]) + ranges(many[word])])
+        out += np.bincount(seen % ROWS, minlength=ROWS).astype(np.int32)
+    return out
+
+
 def fit(texts: list[str], labels: list[int]) -> dict:
     """Model of labelled texts: lean[row], the difference of the logits of a row's vector, and a threshold on the logit."""
     label = np.array(labels, np.int64)
@@ -152,10 +166,7 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     count = np.bincount(w.doc, minlength=len(texts))
     size = np.minimum(PASSAGE, (np.cumsum(count))[doc] - start)
     # Rows of n-grams in few documents are left out: they would only learn those documents by heart.
-    pair = np.unique(w.doc * len(w.key) + w.which)
-    word, at = pair % len(w.key), pair // len(w.key)
-    seen = np.unique(np.repeat(at, many[word]) * ROWS + rows[np.repeat((np.cumsum(many) - many)[word], many[word]) + ranges(many[word])])
-    common = np.flatnonzero(np.bincount(seen % ROWS, minlength=ROWS) >= LEAST_DOCS)
+    common = np.flatnonzero(_doc_counts(w, rows, many, len(texts)) >= LEAST_DOCS)
     compact = np.zeros(ROWS, np.int64)
     compact[common] = np.arange(len(common)) + 1
     rows = compact[rows]
