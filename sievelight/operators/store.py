@@ -137,12 +137,15 @@ def convert(raw: DataFrame, catalog: Catalog, fields: str = "fields") -> tuple[D
             return F.try_to_timestamp(v, F.lit(f.date_format or "yyyy-MM-dd"))
         return v
 
-    columns, bad = [], []
-    for f in catalog.fields.values():
-        values = F.transform(all_values(f), lambda v, f=f: typed(f, v))
-        columns.append((F.filter(values, lambda v: v.isNotNull()) if f.multi else F.get(values, F.lit(0))).alias(f.name))
-        if f.is_number or f.type == "date":
-            bad.append(F.transform(F.filter(all_values(f), lambda v, f=f: typed(f, v).isNull() & (v != "")), lambda v, f=f: F.struct(F.lit(f.name).alias("name"), v.alias("value"))))
+    def read_as(f: Field) -> Column:
+        values = F.transform(all_values(f), lambda v: typed(f, v))
+        return F.filter(values, lambda v: v.isNotNull()) if f.multi else F.get(values, F.lit(0))
+
+    def unread(f: Field) -> Column:
+        return F.transform(F.filter(all_values(f), lambda v: typed(f, v).isNull() & (v != "")), lambda v: F.struct(F.lit(f.name).alias("name"), v.alias("value")))
+
+    columns = [read_as(f).alias(f.name) for f in catalog.fields.values()]
+    bad = [unread(f) for f in catalog.fields.values() if f.is_number or f.type == "date"]
     rest = [F.col(f"`{c}`") for c in raw.columns if c != fields and c not in catalog.fields]
     none = F.array().cast("array<struct<name:string,value:string>>")
     warned = raw.select(F.explode(F.concat(none, *bad)).alias("w")).select("w.*")

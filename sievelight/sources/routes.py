@@ -76,9 +76,9 @@ class Route:
         parts = lambda n: n.partition("{name}")[::2] if "{name}" in n else (n, "")
         (h1, t1), (h2, t2) = parts(a), parts(b)
         if "{name}" in a and "{name}" in b:
-            return (h1.startswith(h2) or h2.startswith(h1)) and (t1.endswith(t2) or t2.endswith(t1)) and not (bool(h1) != bool(h2) and bool(t1) != bool(t2))
+            return (h1.startswith(h2) or h2.startswith(h1)) and (t1.endswith(t2) or t2.endswith(t1))
         head, tail, fixed = (h1, t1, b) if "{name}" in a else (h2, t2, a)
-        return fixed.startswith(head) and fixed.endswith(tail)
+        return len(fixed) > len(head) + len(tail) and fixed.startswith(head) and fixed.endswith(tail)
 
 
 def file_filter(path: str, include: str | None = None, exclude: str | None = None, extensions: Sequence[str] = ()) -> bool:
