@@ -40,6 +40,8 @@ LEAST_DOCS = 8
 #: One document in so many of the sample sets the threshold.
 HELD = 4
 TURNS, EPOCHS, BATCH, RATE, DECAY = 3, 4, 2048, 0.1, 1e-4
+#: Steps of a turn, at least: a small sample is gone through more often.
+LEAST_STEPS = 400
 #: How often an error in a clean document counts for the threshold: such documents are the most.
 CLEAN = 10
 CACHED = 1 << 19
@@ -83,9 +85,11 @@ def _train(w: Words, rows: np.ndarray, many: np.ndarray, start: np.ndarray, size
     first = np.cumsum(many) - many
     rng = np.random.Generator(np.random.PCG64(seed))
     weight = len(label) / (2 * np.maximum(np.bincount(label, minlength=2), 1))
-    steps = EPOCHS * max(1, -(-len(label) // BATCH))
+    batches = max(1, -(-len(label) // BATCH))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps = epochs * batches
     done = 0
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         order = rng.permutation(len(label))
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
