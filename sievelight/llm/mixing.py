@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Shares of the mixture in thousandths.
 WEIGHTS = {"src0": 100, **{f"src{i}": 60 for i in range(1, 10)}, **{f"src{i}": 36 for i in range(10, 20)}}
 OTHER = 36
@@ -29,6 +31,8 @@ SEED = "mix-1"
 ONE = 1 << 24
 #: Documents to a bucket of ids, on average.
 BUCKET = 1 << 16
+#: Sources whose rates are broadcast, at most; more are joined by a shuffle.
+FEW = 100_000
 
 
 def _weight(source: Column, weights: dict[str, int], other: int) -> Column:
@@ -55,6 +59,9 @@ def mix(df: DataFrame, weights: dict[str, int] | None = None, other: int = OTHER
     whole = sizes.where("chars > 0 and w > 0").agg(F.sum("w").alias("all_w"), F.sum("chars").alias("all_chars"), F.sum("n").alias("all_n"), F.min("low").alias("low"), F.max("high").alias("high"))
     share = F.floor(F.col("w").cast("double") * F.col("all_chars").cast("double") * F.lit(float(ONE)) / (F.col("all_w").cast("double") * F.col("chars").cast("double"))).cast("bigint")
     rates = sizes.where("chars > 0 and w > 0").drop("low", "high").crossJoin(whole).select("src", share.alias("rate"), _offset(F.col("src"), seed).alias("offset"), "low", "high", (F.floor(F.col("all_n") / BUCKET) + 1).alias("buckets"))
+    # A row for each source: where that is few, no source's documents have to meet in one task
+    rates = cut(rates)
+    rates = F.broadcast(rates) if rates.count() <= FEW else rates
     bucket = F.coalesce(F.floor((F.col("id") - F.col("low")).cast("double") * F.col("buckets") / (F.col("high") - F.col("low") + 1).cast("double")).cast("bigint"), F.lit(-1))
     each = docs.join(rates, "src").select("row", "id", "tie", "src", "rate", "offset", bucket.alias("bucket"))
     upto = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
