@@ -47,12 +47,11 @@ def _some(index: Index, field: Field, test) -> Column:
         return nothing()
     if field.type in ("text", "date") or field.multi:
         return F.exists(index.tokens(field.name), test)
-    c = F.col(f"`{field.source}`")
-    return F.coalesce(test(c), nothing())
+    return test(F.col(f"`{field.source}`"))
 
 
 def predicate(query: Q.Query | None, index: Index) -> Column:
-    """The condition of a query, never null. A field that the index doesn't have matches nothing."""
+    """The condition of a query; null counts as false. A field that the index doesn't have matches nothing."""
     if query is None or isinstance(query, Q.MatchAll):
         return F.lit(True)
     if isinstance(query, Q.Boost):
@@ -99,11 +98,14 @@ def _bool(query: Q.Bool, index: Index) -> Column:
         return nothing()
     # Beside a required clause the optional ones only count for the score
     base = reduce(lambda a, b: a & b, must) if must else reduce(lambda a, b: a | b, should)
-    return reduce(lambda a, b: a & ~b, never, base)
+    # A plain comparison can be pushed into the scan; only its negation has to mind nulls
+    return reduce(lambda a, b: a & ~F.coalesce(b, nothing()), never, base)
 
 
 def _between(c: Column, low, high, with_low: bool, with_high: bool) -> Column:
     out = F.lit(True)
+    if low is not None and high is not None and with_low and with_high:
+        return c.between(low, high)
     if low is not None:
         out = (c >= low) if with_low else (c > low)
     if high is not None:
@@ -144,10 +146,13 @@ def _number(index: Index, field: Field, q: Q.NumberRange) -> Column:
         out = _between(c, low, high, q.with_low, q.with_high)
         return out & (c > 0) if q.compat and q.low is None and q.type in ("float", "double") else out
 
-    return F.exists(index.values(field), test) if field.multi else F.coalesce(test(F.col(f"`{field.source}`")), nothing())
+    return F.exists(index.values(field), test) if field.multi else test(F.col(f"`{field.source}`"))
 
 
-def _literal(at: datetime) -> Column:
+def _literal(at: datetime, kind: str) -> Column:
+    """A moment of the type of the column, so that the column needs no cast and can be pushed down."""
+    if kind == "timestamp_ntz":
+        return F.lit((at.astimezone(UTC).replace(tzinfo=None) if at.tzinfo else at).isoformat(sep=" ")).cast(kind)
     return F.lit(at.astimezone(UTC) if at.tzinfo else at.replace(tzinfo=UTC)).cast("timestamp")
 
 
@@ -175,11 +180,12 @@ def _date(index: Index, field: Field, q: Q.DateRange) -> Column:
     if q.low is None and q.high is None:
         return nothing() if field.multi else F.col(f"`{field.source}`").isNull()
     low, high = date_bounds(q)
+    kind = index.df.schema[field.source].dataType.simpleString().removeprefix("array<").removesuffix(">")
 
     def test(c: Column) -> Column:
-        return _between(c, None if low is None else _literal(low), None if high is None else _literal(high), True, False)
+        return _between(c, None if low is None else _literal(low, kind), None if high is None else _literal(high, kind), True, False)
 
-    return F.exists(index.values(field), test) if field.multi else F.coalesce(test(F.col(f"`{field.source}`")), nothing())
+    return F.exists(index.values(field), test) if field.multi else test(F.col(f"`{field.source}`"))
 
 
 __all__ = ["Resolution", "date_bounds", "format_string", "glob_regex", "predicate", "to_number"]
