@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.index import Index
 
-MEDIA = {"xml": "application/xml", "psml": "application/xml", "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "txt": "text/plain", "md": "text/plain", "csv": "text/csv"}
+MEDIA = {"xml": "application/xml", "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "txt": "text/plain", "md": "text/plain", "csv": "text/csv"}
 LARGEST = 30_000_000
 
 

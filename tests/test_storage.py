@@ -136,19 +136,19 @@ def test_changes_and_folders(spark, folder):
 
 
 def test_routes():
-    r = Route("index", "/psml/content")
-    assert r.index_of("/psml/content/something") == "index" and r.index_of("/psml/contents/something") is None
-    r = Route("index-{name}", "/psml/content/book{name}/folder")
-    assert r.index_of("/psml/content/book001/folder") == "index-001" and r.content_path("index-001") == "/psml/content/book001/folder"
-    r = Route("book-{name}", "/psml/content/book-{name}", ("/psml/content/book-002", "/psml/content/book-10*"))
-    assert [r.index_of(f"/psml/content/book-{n}") for n in ("101", "111", "002")] == [None, "book-111", None]
+    r = Route("index", "/notes/content")
+    assert r.index_of("/notes/content/something") == "index" and r.index_of("/notes/contents/something") is None
+    r = Route("index-{name}", "/notes/content/book{name}/folder")
+    assert r.index_of("/notes/content/book001/folder") == "index-001" and r.content_path("index-001") == "/notes/content/book001/folder"
+    r = Route("book-{name}", "/notes/content/book-{name}", ("/notes/content/book-002", "/notes/content/book-10*"))
+    assert [r.index_of(f"/notes/content/book-{n}") for n in ("101", "111", "002")] == [None, "book-111", None]
     r = Route("index-{name}", "/x/{name}")
     assert r.clashes("index-more-{name}") and not r.clashes("more-{name}") and not r.clashes("index") and Route("index-{name}", "/{name}").clashes("{name}-index")
     with pytest.raises(ValueError):
         Route("i-{name}", "/fixed")
     assert is_valid_index_name("a-b.c@$") and not is_valid_index_name("a b") and not is_valid_index_name("x" * 256)
-    args = dict(include=r"test/(.*)\.psml", exclude=r"test/notme\.psml", extensions=("psml", "xml"))
-    assert [file_filter(p, **args) for p in ("test/test.psml", "test.psml", "test/test.xml", "test.zip", "test/notme.psml")] == [True, False, False, False, False]
+    args = dict(include=r"test/(.*)\.notes", exclude=r"test/notme\.notes", extensions=("notes", "xml"))
+    assert [file_filter(p, **args) for p in ("test/test.notes", "test.notes", "test/test.xml", "test.zip", "test/notme.notes")] == [True, False, False, False, False]
 
 
 LIPSUM = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua."
