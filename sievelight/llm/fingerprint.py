@@ -1,10 +1,12 @@
 """Document fingerprints: digests of improbable features.
 
-A feature is a window of WINDOW bytes of a text's UTF-8. Its entropy, in thousandths of the
-largest, ranks it: the rarer that entropy is among all windows of the corpus, the better, and
-of equals the lower. Windows of little entropy, as of runs of one sign, have no rank. Every
-SPAN windows in a row name the best of them, the leftmost of equals, and a window that is
-named POPULAR times is a feature. Each feature, once a document, sets HASHES bits of a Bloom filter of
+A feature is a window of a text's UTF-8. Its entropy, in thousandths of the largest, ranks it:
+the rarer that entropy is among all windows of the corpus, the better, and of equals the lower.
+Windows of little entropy, as of runs of one sign, have no rank. Every span of windows in a row
+names the best of them, the leftmost of equals, and a window that is named often enough is a
+feature. A Grain says how many bytes, windows and times these are: COARSE, the default, leaves
+short texts with few features or none; FINE, of the registered query, makes every span of
+windows that lies within a passage name the same feature wherever the passage stands. Each feature, once a document, sets HASHES bits of a Bloom filter of
 FILTER_BITS bits; after FEATURES features the next filter of the chain begins. The digest is the
 chain, in the order of the text.
 
@@ -13,15 +15,16 @@ share of the most that they could: 0 to 100. Two digests: the mean over the filt
 shorter one of the highest score against a filter of the other, so a passage is found
 within a longer text.
 
-Defined results: null and empty texts, and such of fewer than WINDOW bytes or without any ranked
-window, have no features, an empty digest and score 0 against any other; so do filters of fewer than
-LEAST features. Equal texts have equal digests. The whole of every text counts, once for each row.
+Defined results: null and empty texts, and such of fewer bytes than a window or without any ranked
+window, have no features, an empty digest and score 0 against any other. A filter of fewer than LEAST
+features, too few for a share, scores 100 where the other has all its bits, else 0. Equal texts have equal digests. The whole of every text counts, once for each row.
 All columns pass through; those named as an output column are replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,17 @@ from pyspark.sql import types as T
 from .text import chunked, ship, span_hashes, utf8, with_text_columns
 
 WINDOW, SPAN, POPULAR = 64, 64, 16
+
+
+class Grain(NamedTuple):
+    """How features are selected: bytes of a window, a power of two; windows of a span, too; how often a feature is named."""
+
+    window: int
+    span: int
+    popular: int
+
+
+COARSE, FINE = Grain(WINDOW, SPAN, POPULAR), Grain(32, 8, 1)
 LOWEST = 100  # entropy in thousandths below which a window has no rank
 FILTER_BITS, HASHES, FEATURES, LEAST = 2048, 5, 160, 3
 #: Share of the way from chance to the most shared bits at which the score begins.
@@ -48,54 +62,55 @@ _GAIN = np.round(np.diff(_plogp) * _SCALE).astype(np.int32)
 _FULL = int(np.log2(WINDOW) * WINDOW * _SCALE)
 
 
-def entropies(raw: np.ndarray) -> np.ndarray:
+def entropies(raw: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Entropy of every window of raw, in thousandths of the largest, by its first byte."""
-    n = len(raw) - WINDOW + 1
+    n = len(raw) - window + 1
+    full = int(np.log2(window) * window * _SCALE)
     out = np.zeros(max(n, 0), np.int16)
     for low in range(0, n, _SEGMENT):
-        part = raw[low : min(n, low + _SEGMENT) + WINDOW - 1]
+        part = raw[low : min(n, low + _SEGMENT) + window - 1]
         size = len(part)
         after, before = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-        for lag in range(1, WINDOW):
+        for lag in range(1, window):
             same = (part[lag:] == part[:-lag]).view(np.uint8)
             after[:-lag] += same
             before[lag:] += same
-        total = np.empty(size - WINDOW + 1, np.int32)
+        total = np.empty(size - window + 1, np.int32)
         # The first window byte by byte, each later one from its predecessor.
-        total[0] = _GAIN[[int((part[:i] == part[i]).sum()) for i in range(WINDOW)]].sum()
-        total[1:] = total[0] + np.cumsum(_GAIN[before[WINDOW:]] - _GAIN[after[: size - WINDOW]], dtype=np.int32)
-        out[low : low + len(total)] = (_FULL - total.astype(np.int64)) * 1000 // _FULL
+        total[0] = _GAIN[[int((part[:i] == part[i]).sum()) for i in range(window)]].sum()
+        total[1:] = total[0] + np.cumsum(_GAIN[before[window:]] - _GAIN[after[: size - window]], dtype=np.int32)
+        out[low : low + len(total)] = (full - total.astype(np.int64)) * 1000 // full
     return out
 
 
-def _inside(off: np.ndarray, n: int) -> np.ndarray:
+def _inside(off: np.ndarray, n: int, window: int) -> np.ndarray:
     """Which of n windows lie within one text."""
     inside = np.ones(n, np.int8)
     edge = off[1:-1]
     step = np.zeros(n + 1, np.int32)
-    np.add.at(step, np.clip(edge - WINDOW + 1, 0, n), 1)
+    np.add.at(step, np.clip(edge - window + 1, 0, n), 1)
     np.add.at(step, np.clip(edge, 0, n), -1)
     inside[np.cumsum(step[:-1]) > 0] = 0
     return inside.astype(bool)
 
 
-def entropy_counts(column: pa.Array) -> np.ndarray:
+def entropy_counts(column: pa.Array, window: int = WINDOW) -> np.ndarray:
     """How many windows of the texts have each entropy."""
     raw, off = utf8(column)
-    e = entropies(raw)
-    return np.bincount(e[_inside(off, len(e))], minlength=1001)[:1001]
+    e = entropies(raw, window)
+    return np.bincount(e[_inside(off, len(e), window)], minlength=1001)[:1001]
 
 
 _COUNTS = T.StructType([T.StructField("entropy", T.IntegerType()), T.StructField("n", T.LongType())])
 
 
-def rarity(df: DataFrame, text: str = "text") -> np.ndarray:
+def rarity(df: DataFrame, text: str = "text", window: int = WINDOW) -> np.ndarray:
     """Rank of each entropy by its number of windows over all rows of df, rarest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1001, np.int64)
         for b in chunked(batches, text):
-            total += entropy_counts(b.column(text))
+            total += entropy_counts(b.column(text), window)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], [f.name for f in _COUNTS])
 
@@ -112,38 +127,39 @@ def ranks_of(total: np.ndarray) -> np.ndarray:
     return rank
 
 
-def features(raw: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(raw: np.ndarray, off: np.ndarray, rank: np.ndarray, grain: Grain = COARSE) -> tuple[np.ndarray, np.ndarray]:
     """(text, start) of the features, in order.
 
     Runs of windows reach beyond a text's ends, where there are none, so texts don't depend on neighbours.
     """
-    n = len(raw) - WINDOW + 1
+    window, span, popular = grain
+    n = len(raw) - window + 1
     if n < 1:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = np.where(_inside(off, n), rank[entropies(raw)], np.int16(_NONE))
+    own = np.where(_inside(off, n, window), rank[entropies(raw, window)], np.int16(_NONE))
     starts: list[np.ndarray] = []
     for low in range(0, n, _SEGMENT):
         high = min(n, low + _SEGMENT)
         # Windows whose runs can name one of this segment, and the ends of the texts as windows without rank
-        a, b = low - SPAN + 1, high + SPAN - 1
+        a, b = low - span + 1, high + span - 1
         key = np.full(b - a, _NONE, np.int64)
         key[max(0, -a) : min(n, b) - a] = own[max(0, a) : min(n, b)]
         key = (key << 32) | np.arange(len(key))
         width = 1
-        while width < SPAN:  # a power of two: after each turn, the least of `width` from here on
+        while width < span:  # a power of two: after each turn, the least of `width` from here on
             key = np.minimum(key[:-width], key[width:])
             width *= 2
         named = np.bincount(key & 0xFFFFFFFF, minlength=b - a)[low - a : high - a]
-        starts.append(np.flatnonzero((named >= POPULAR) & (own[low:high] < _NONE)) + low)
+        starts.append(np.flatnonzero((named >= popular) & (own[low:high] < _NONE)) + low)
     start = np.concatenate(starts)
     return np.searchsorted(off, start, "right") - 1, start
 
 
-def digest_column(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def digest_column(column: pa.Array, rank: np.ndarray, grain: Grain = COARSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features per text, filters per text, filters as rows of bytes) of a chunk of texts."""
     raw, off = utf8(column)
-    doc, start = features(raw, off, rank)
-    value = span_hashes(raw, start, start + WINDOW, 31)
+    doc, start = features(raw, off, rank, grain)
+    value = span_hashes(raw, start, start + grain.window, 31)
     order = np.lexsort((start, value, doc))
     again = np.append(False, (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1]))[: len(order)]
     fresh = np.ones(len(order), bool)
@@ -159,13 +175,13 @@ def digest_column(column: pa.Array, rank: np.ndarray) -> tuple[np.ndarray, np.nd
     return count, chain, np.packbits(bits, axis=1)
 
 
-def digests(df: DataFrame, rank: np.ndarray, text: str = "text", digest: str = "digest", n_features: str = "n_features") -> DataFrame:
-    """df with the digest of each text and its number of features; rank is what `rarity` gives."""
+def digests(df: DataFrame, rank: np.ndarray, text: str = "text", digest: str = "digest", n_features: str = "n_features", grain: Grain = COARSE) -> DataFrame:
+    """df with the digest of each text and its number of features; rank is what `rarity` gives for the grain's window."""
     sent = ship(df).sparkSession.sparkContext.broadcast(rank)  # 1001 numbers
     schema = T.StructType([T.StructField(n_features, T.IntegerType()), T.StructField(digest, T.BinaryType())])
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
-        count, chain, filters = digest_column(column, sent.value)
+        count, chain, filters = digest_column(column, sent.value, grain)
         off = np.append(0, np.cumsum(chain) * _BYTES).astype(np.int32)
         return {n_features: pa.array(count, pa.int32()), digest: pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(off), pa.py_buffer(filters)])}
 
@@ -192,7 +208,7 @@ def overlap_scores(f: np.ndarray, nf: np.ndarray, g: np.ndarray, ng: np.ndarray)
     chance = (FILTER_BITS * np.outer(1 - p**nf, 1 - p**ng)).astype(np.float32)
     low = chance + CUTOFF * (most - chance)
     score = np.where((shared > low) & (most > low), 100 * (shared - low) / np.maximum(most - low, 1e-6), 0)
-    return np.where(np.minimum.outer(nf, ng) < LEAST, 0, score)
+    return np.where(np.minimum.outer(nf, ng) < LEAST, np.where((most > 0) & (shared == most), 100, 0), score)
 
 
 def compare(count_a: int, a: bytes, count_b: int, b: bytes) -> float:

@@ -26,9 +26,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of every document, and the benchmark item that it overlaps most, with the score."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    rank = fingerprint.rarity(docs)
-    items = fingerprint.digests(read(spark, sf_dir, "benchmark").select("item_id", "text"), rank)
-    return fingerprint.match(fingerprint.digests(docs, rank).select("doc_id", "n_features", "digest"), items)
+    grain = fingerprint.FINE
+    rank = fingerprint.rarity(docs, window=grain.window)
+    items = fingerprint.digests(read(spark, sf_dir, "benchmark").select("item_id", "text"), rank, grain=grain)
+    return fingerprint.match(fingerprint.digests(docs, rank, grain=grain).select("doc_id", "n_features", "digest"), items)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
