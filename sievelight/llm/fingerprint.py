@@ -51,6 +51,8 @@ LOWEST = 100  # entropy in thousandths below which a window has no rank
 FILTER_BITS, HASHES, FEATURES, LEAST = 2048, 5, 160, 3
 #: Share of the way from chance to the most shared bits at which the score begins.
 CUTOFF = 0.3
+#: Score from which two digests are reported as overlapping.
+THRESHOLD = 20.0
 _BYTES = FILTER_BITS // 8
 _SEGMENT = 1 << 18  # bytes looked at together, for the cache
 _SCALE = 1 << 16
@@ -221,57 +223,78 @@ def compare(count_a: int, a: bytes, count_b: int, b: bytes) -> float:
     return float((s.max(1) if (len(left), count_a) <= (len(right), count_b) else s.max(0)).mean())
 
 
-def best_matches(count: np.ndarray, chain: np.ndarray, filters: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(place among the known digests or -1, score) of the best match of each digest; of equals the first."""
-    best, at = np.zeros(len(count), np.float32), np.full(len(count), -1)
+def all_scores(count: np.ndarray, chain: np.ndarray, filters: np.ndarray, known: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of a known digest, places of the digests with features, their scores), one known digest after the other."""
     own, theirs = filter_sizes(count, chain), filter_sizes(known["count"], known["chain"])
-    of = np.repeat(np.arange(len(count)), chain)
     begin = np.cumsum(known["chain"]) - known["chain"]
     some = np.flatnonzero(chain)
     if not len(some):
-        return at, best
+        return
     edges = (np.cumsum(chain) - chain)[some]
     for k in np.flatnonzero(known["chain"]):
         part = slice(begin[k], begin[k] + known["chain"][k])
         s = overlap_scores(filters, own, known["filters"][part], theirs[part])
         shorter = (chain[some] < known["chain"][k]) | ((chain[some] == known["chain"][k]) & (count[some] <= known["count"][k]))
-        here = np.where(shorter, np.add.reduceat(s.max(1), edges) / chain[some], np.maximum.reduceat(s, edges, axis=0).mean(1))
+        yield k, some, np.where(shorter, np.add.reduceat(s.max(1), edges) / chain[some], np.maximum.reduceat(s, edges, axis=0).mean(1))
+
+
+def best_matches(count: np.ndarray, chain: np.ndarray, filters: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(place among the known digests or -1, score) of the best match of each digest, of equals the first; (digest, place, score) of all from THRESHOLD."""
+    best, at = np.zeros(len(count), np.float32), np.full(len(count), -1)
+    found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for k, some, here in all_scores(count, chain, filters, known):
         more = here > best[some]
         best[some[more]], at[some[more]] = here[more], k
-    return at, best
+        here = np.round(here.astype(np.float64), 3)
+        hit = np.flatnonzero(here >= THRESHOLD)
+        found.append((some[hit], np.full(len(hit), k), here[hit]))
+    return at, best, [np.concatenate(x) for x in zip(*found)]
 
 
 #: Bytes of digests that are broadcast to be compared with; what is beyond goes in further turns.
 KNOWN_BYTES = 8 << 20
 
 
-def match(df: DataFrame, known: DataFrame, known_id: str = "item_id", digest: str = "digest", n_features: str = "n_features", out_id: str = "match_id", score: str = "score") -> DataFrame:
+def match(df: DataFrame, known: DataFrame, known_id: str = "item_id", digest: str = "digest", n_features: str = "n_features", out_id: str = "match_id", score: str = "score", matches: str = "matches") -> DataFrame:
     """df, of digests, with the best of the digests in `known` and its score; null and 0 where none scores.
 
+    Column `matches` lists (id, score) of all that score THRESHOLD or more, the highest first, of equals the least id.
+
     known holds the same digest columns. It is checked to be KNOWN_BYTES at most, else it is cut by
     hashed id, and df is compared with one part after the other.
     """
     rows = known.select(F.col(f"`{known_id}`").cast("bigint").alias("id"), F.col(n_features).alias("n"), F.col(digest).alias("d")).where("id is not null and length(d) > 0")
     size = rows.agg(F.sum(F.length("d"))).first()[0] or 0
     turns = max(1, -(-size // KNOWN_BYTES))
-    new = {out_id.lower(), score.lower()}
-    out = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in new]).withColumns({out_id: F.lit(None).cast("bigint"), score: F.lit(0.0)})
+    new = {out_id.lower(), score.lower(), matches.lower()}
+    out = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in new]).withColumns({out_id: F.lit(None).cast("bigint"), score: F.lit(0.0), matches: F.expr("cast(array() as array<struct<id: bigint, score: double>>)")})
     for turn in range(turns):
         got = sorted(rows.where(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn).collect(), key=lambda r: r.id)  # about KNOWN_BYTES
         table = {"id": np.array([r.id for r in got], np.int64), "count": np.array([r.n for r in got], np.int64), "chain": np.array([len(r.d) // _BYTES for r in got], np.int64), "filters": np.frombuffer(b"".join(bytes(r.d) for r in got), np.uint8).reshape(-1, _BYTES)}
         sent = df.sparkSession.sparkContext.broadcast(table)
-        at_id, at_score = out.columns.index(out_id), out.columns.index(score)
+        at_id, at_score, at_all = (out.columns.index(c) for c in (out_id, score, matches))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, at_id=at_id, at_score=at_score) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, at_id=at_id, at_score=at_score, at_all=at_all) -> Iterator[pa.RecordBatch]:
             for b in chunked(batches, digest, 1 << 20):
                 raw, off = utf8(b.column(digest))
-                place, s = best_matches(b.column(n_features).to_numpy().astype(np.int64), np.diff(off) // _BYTES, raw.reshape(-1, _BYTES), sent.value)
+                place, s, (hit, which, high) = best_matches(b.column(n_features).to_numpy().astype(np.int64), np.diff(off) // _BYTES, raw.reshape(-1, _BYTES), sent.value)
                 old, old_id = b.column(at_score).to_numpy(), b.column(at_id)
                 ids = pa.array(np.append(sent.value["id"], 0)[place], pa.int64(), mask=place < 0)
                 s = np.round(s.astype(np.float64), 3)
                 better = pa.array((s > old) | ((s == old) & (s > 0) & (np.append(sent.value["id"], 0)[place] < old_id.fill_null(2**63 - 1).to_numpy())))
                 columns = list(b.columns)
                 columns[at_id], columns[at_score] = pc.if_else(better, ids, old_id), pc.if_else(better, pa.array(s), pa.array(old))
+                # Those of earlier turns, then of this one, by document
+                before = b.column(at_all)
+                had = pc.list_value_length(before).to_numpy()
+                doc = np.concatenate([np.repeat(np.arange(len(had)), had), hit])
+                was = before.flatten()
+                all_ids = np.concatenate([was.field(0).to_numpy(zero_copy_only=False), sent.value["id"][which]])
+                every = np.concatenate([was.field(1).to_numpy(zero_copy_only=False), high])
+                order = np.lexsort((all_ids, -every, doc))
+                pairs = pa.StructArray.from_arrays([pa.array(all_ids[order], pa.int64()), pa.array(every[order], pa.float64())], ["id", "score"])
+                ends = np.append(0, np.cumsum(np.bincount(doc, minlength=len(had)))).astype(np.int32)
+                columns[at_all] = pa.ListArray.from_arrays(pa.array(ends), pairs)
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
         out = out.mapInArrow(run, out.schema)

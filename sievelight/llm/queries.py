@@ -24,7 +24,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of every document, and the benchmark item that it overlaps most, with the score."""
+    """The digest of every document, the benchmark item that it overlaps most, with the score, and all items that it overlaps."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     grain = fingerprint.FINE
     rank = fingerprint.rarity(docs, window=grain.window)

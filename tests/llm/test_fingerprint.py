@@ -31,6 +31,19 @@ def test_every_item_is_found_where_it_stands_verbatim(spark, tmp_path):
         assert got[d].match_id == d % 10 and got[d].score > 10, (d, got[d].match_id, got[d].score)
 
 
+def test_every_item_of_a_document_is_listed(spark, tmp_path, monkeypatch):
+    docs = [f"{text(150)} {ITEMS[8]} {text(150)} {ITEMS[3]} {text(40)} {ITEMS[6]} {text(90)}", f"{ITEMS[9]} {text(50)}", text(300), None, ""]
+    path = tables(spark, tmp_path, docs, ITEMS)
+    for size in (1 << 20, 600):  # the latter in several turns
+        monkeypatch.setattr(fingerprint, "KNOWN_BYTES", size)
+        got = {r.doc_id: r for r in queries.op3_fingerprints(spark, path).collect()}
+        assert [sorted(m.id for m in got[d].matches) for d in range(5)] == [[3, 6, 8], [9], [], [], []]
+        for r in got.values():
+            order = [(-m.score, m.id) for m in r.matches]
+            assert order == sorted(order) and all(m.score >= fingerprint.THRESHOLD for m in r.matches)
+            assert not order or (r.match_id, r.score) == (r.matches[0].id, r.matches[0].score)
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_filters_of_few_features_score_by_all_their_bits(n):
     import numpy as np
