@@ -29,11 +29,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import chunked, ship, span_hashes, utf8, with_text_columns
+from .graph import cut
+from .text import chunked, lists, ship, span_hashes, utf8, with_text_columns
 
 WINDOW, SPAN, POPULAR = 64, 64, 16
 
@@ -159,24 +160,38 @@ def features(raw: np.ndarray, off: np.ndarray, rank: np.ndarray, grain: Grain =
 
 def digest_column(column: pa.Array, rank: np.ndarray, grain: Grain = COARSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features per text, filters per text, filters as rows of bytes) of a chunk of texts."""
-    raw, off = utf8(column)
-    doc, start = features(raw, off, rank, grain)
-    value = span_hashes(raw, start, start + grain.window, 31)
-    order = np.lexsort((start, value, doc))
-    again = np.append(False, (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1]))[: len(order)]
-    fresh = np.ones(len(order), bool)
-    fresh[order[again]] = False
-    doc, value = doc[fresh], value[fresh]
+    doc, _, value = distinct_features(*utf8(column), rank, grain)
     count = np.bincount(doc, minlength=len(column))
     chain = -(-count // FEATURES)
-    nth = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
-    row = (np.cumsum(chain) - chain)[doc] + nth // FEATURES
+    row = (np.cumsum(chain) - chain)[doc] + _nth(doc, count) // FEATURES
     bits = np.zeros((int(chain.sum()), FILTER_BITS), bool)
     for k in range(HASHES):
         bits[row, ((value >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
     return count, chain, np.packbits(bits, axis=1)
 
 
+def _nth(doc: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The place of each feature in its text."""
+    return np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+
+
+def distinct_features(raw: np.ndarray, off: np.ndarray, rank: np.ndarray, grain: Grain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, hash) of the features, in order, each once a text."""
+    doc, start = features(raw, off, rank, grain)
+    value = span_hashes(raw, start, start + grain.window, 31)
+    order = np.lexsort((start, value, doc))
+    again = np.append(False, (value[order][1:] == value[order][:-1]) & (doc[order][1:] == doc[order][:-1]))[: len(order)]
+    fresh = np.ones(len(order), bool)
+    fresh[order[again]] = False
+    return doc[fresh], start[fresh], value[fresh]
+
+
+def _binary(chain: np.ndarray, filters: np.ndarray) -> pa.Array:
+    """The digests of a chunk of texts."""
+    off = np.append(0, np.cumsum(chain) * _BYTES).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(chain), [None, pa.py_buffer(off), pa.py_buffer(filters)])
+
+
 def digests(df: DataFrame, rank: np.ndarray, text: str = "text", digest: str = "digest", n_features: str = "n_features", grain: Grain = COARSE) -> DataFrame:
     """df with the digest of each text and its number of features; rank is what `rarity` gives for the grain's window."""
     sent = ship(df).sparkSession.sparkContext.broadcast(rank)  # 1001 numbers
@@ -184,8 +199,7 @@ def digests(df: DataFrame, rank: np.ndarray, text: str = "text", digest: str = "
 
     def make(column: pa.Array) -> dict[str, pa.Array]:
         count, chain, filters = digest_column(column, sent.value, grain)
-        off = np.append(0, np.cumsum(chain) * _BYTES).astype(np.int32)
-        return {n_features: pa.array(count, pa.int32()), digest: pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(off), pa.py_buffer(filters)])}
+        return {n_features: pa.array(count, pa.int32()), digest: _binary(chain, filters)}
 
     return with_text_columns(df, text, schema, make)
 
@@ -223,6 +237,21 @@ def compare(count_a: int, a: bytes, count_b: int, b: bytes) -> float:
     return float((s.max(1) if (len(left), count_a) <= (len(right), count_b) else s.max(0)).mean())
 
 
+def contained(count_a: int, a: bytes, count_b: int, b: bytes) -> float:
+    """How much of the text of fewer features the other holds, 0 to 100.
+
+    The mean over its filters, weighted by their features, of the highest score, which counts
+    as less against a filter of fewer features, such as the last of a chain.
+    """
+    (n, x), (m, y) = sorted([(count_a, a), (count_b, b)])
+    if not n:
+        return 0.0
+    few, many = (np.frombuffer(z, np.uint8).reshape(-1, _BYTES) for z in (x, y))
+    nf, ng = (filter_sizes(np.array([c]), np.array([len(z)])) for c, z in ((n, few), (m, many)))
+    s = overlap_scores(few, nf, many, ng) * np.minimum(1, ng[None, :] / nf[:, None])
+    return float((s.max(1) * nf).sum() / n)
+
+
 def all_scores(count: np.ndarray, chain: np.ndarray, filters: np.ndarray, known: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of a known digest, places of the digests with features, their scores), one known digest after the other."""
     own, theirs = filter_sizes(count, chain), filter_sizes(known["count"], known["chain"])
@@ -299,3 +328,70 @@ def match(df: DataFrame, known: DataFrame, known_id: str = "item_id", digest: st
 
         out = out.mapInArrow(run, out.schema)
     return out
+
+
+#: Windows of the wider spans that choose, among the features of a digest, those that name candidates.
+CANDIDATE_SPAN = 64
+#: One in so many of a filter's candidate features, the commonest, isn't looked up; all are indexed.
+COMMONEST = 8
+
+
+def with_candidates(df: DataFrame, rank: np.ndarray, text: str, grain: Grain) -> DataFrame:
+    """df with n_features, digest and `named`: of each filter, those of its features that name candidates."""
+    sent = ship(df).sparkSession.sparkContext.broadcast(rank)  # 1001 numbers
+    schema = T.StructType([T.StructField("n_features", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("named", T.ArrayType(T.ArrayType(T.LongType())))])
+
+    def make(column: pa.Array) -> dict[str, pa.Array]:
+        raw, off = utf8(column)
+        doc, start, value = distinct_features(raw, off, sent.value, grain)
+        count, chain, filters = digest_column(column, sent.value, grain)
+        row = (np.cumsum(chain) - chain)[doc] + _nth(doc, count) // FEATURES
+        wide = np.isin(start, features(raw, off, sent.value, grain._replace(span=CANDIDATE_SPAN))[1])
+        inner = lists(value[wide].view(np.int64), np.bincount(row[wide], minlength=int(chain.sum())), pa.int64())
+        ends = np.append(0, np.cumsum(chain)).astype(np.int32)
+        return {"n_features": pa.array(count, pa.int32()), "digest": _binary(chain, filters), "named": pa.ListArray.from_arrays(pa.array(ends), inner)}
+
+    return with_text_columns(df, text, schema, make)
+
+
+def candidates(heads: DataFrame) -> DataFrame:
+    """Pairs a < b of the ids of heads (id, named) that share a feature which isn't among the commonest of either's filter."""
+    filters = heads.select("id", F.posexplode("named").alias("g", "own"))
+    rows = filters.select("id", "g", F.size("own").alias("m"), F.explode("own").alias("f"))
+    shared = cut(rows.withColumn("n", F.count("*").over(Window.partitionBy("f"))).where("n > 1"))
+    common = F.row_number().over(Window.partitionBy("id", "g").orderBy(F.desc("n"), "f"))
+    asked = shared.withColumn("k", common).where(f"k > m div {COMMONEST}").select("f", F.col("id").alias("a"))
+    met = asked.join(shared.select("f", F.col("id").alias("b")), "f").where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("score", T.DoubleType())])
+
+
+def pairs(df: DataFrame, rank: np.ndarray, id_col: str = "doc_id", text: str = "text", grain: Grain = FINE) -> DataFrame:
+    """(a, b, score): the documents a < b of which one is `contained` in the other by THRESHOLD or more.
+
+    Of documents with equal digests, which score 100, only the one of least id is compared
+    further; each other has one row, with that one, so every overlap follows from the rows.
+    Rows of equal id count as one document, which scores as its best row; null ids and texts
+    without features are in no pair.
+    """
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text")).where("id is not null")
+    made = digests(docs, rank, grain=grain).where("n_features > 0")
+    equal = Window.partitionBy("n_features", "h")
+    alike = made.select("id", "n_features", F.sha2("digest", 256).alias("h")).withColumn("head", F.min("id").over(equal))
+    copies = alike.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("score"))
+    named = with_candidates(docs, rank, "text", grain).where("n_features > 0").select("id", "n_features", F.sha2("digest", 256).alias("h"), "named")
+    heads = named.withColumn("k", F.row_number().over(equal.orderBy("id"))).where("k = 1").select("id", "named")
+    found = cut(candidates(heads))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, d, m, e = (b.column(c).to_pylist() for c in ("na", "da", "nb", "db"))
+            s = np.round([contained(*x) for x in zip(n, d, m, e)], 3)
+            high = pa.array(s >= THRESHOLD)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], [f.name for f in _PAIR]).filter(high)
+
+    side = lambda c: made.select(F.col("id").alias(c), F.col("n_features").alias(f"n{c}"), F.col("digest").alias(f"d{c}"))
+    scored = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "da", "nb", "db").mapInArrow(score, _PAIR)
+    return copies.union(scored).groupBy("a", "b").agg(F.max("score").alias("score"))

@@ -32,6 +32,12 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.match(fingerprint.digests(docs, rank, grain=grain).select("doc_id", "n_features", "digest"), items)
 
 
+def op3_fingerprint_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two documents whose digests overlap, with the score; of equal digests, each with the least id."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprint.pairs(docs, fingerprint.rarity(docs, window=fingerprint.FINE.window))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document."""
     return bpe.token_counts(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
@@ -70,7 +76,7 @@ def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_fingerprints, op4_token_counts, op5_simhash, op6_embeddings, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
+    return {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_fingerprints, op3_fingerprint_pairs, op4_token_counts, op5_simhash, op6_embeddings, op7_mixing, op8_language_id, op9_toxicity, op10_substring)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,6 +44,26 @@ def test_every_item_of_a_document_is_listed(spark, tmp_path, monkeypatch):
             assert not order or (r.match_id, r.score) == (r.matches[0].id, r.matches[0].score)
 
 
+def test_documents_are_compared_with_each_other(spark, tmp_path):
+    base = [text(300) for _ in range(12)]
+    near = " ".join(w if i % 60 else "changed" for i, w in enumerate(base[0].split()))
+    docs = [*base, base[1], base[1], near, f"{base[2]} {text(300)}", f"{text(100)} {base[3][:900]} {text(60)}", "", None, base[4] + " " + base[5], ITEMS[0], ITEMS[0]]
+    path = tables(spark, tmp_path, docs, ITEMS)
+    got = {(r.a, r.b): r.score for r in queries.op3_fingerprint_pairs(spark, path).collect()}
+    rank = fingerprint.rarity(queries.read(spark, path, "documents"), window=32)
+    made = {r.doc_id: (r.n_features, bytes(r.digest)) for r in fingerprint.digests(queries.read(spark, path, "documents"), rank, grain=fingerprint.FINE).collect()}
+    heads, want = {}, {}
+    for i, d in sorted(made.items()):
+        if d[0] and heads.setdefault(d, i) != i:
+            want[heads[d], i] = 100
+    for a in heads.values():
+        for b in heads.values():
+            if a < b and (s := round(fingerprint.contained(*made[a], *made[b]), 3)) >= fingerprint.THRESHOLD:
+                want[a, b] = s
+    assert set(want) >= {(1, 12), (1, 13), (0, 14), (2, 15), (3, 16), (4, 19), (5, 19), (20, 21)}
+    assert got == pytest.approx(want, abs=2e-3)
+
+
 @pytest.mark.parametrize("n", [1, 2])
 def test_filters_of_few_features_score_by_all_their_bits(n):
     import numpy as np
