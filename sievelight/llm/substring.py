@@ -1,4 +1,6 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by factors in the manner of relative Lempel-Ziv, found by equality of hashed windows.
+
+It isn't a greedy parse for the longest match at each place: factors are runs of equal windows.
 
 A text is a sequence of words, cut at ASCII white space and compared exactly. Factors are
 parsed against reference blocks that between them index the whole corpus: every window of
