@@ -1,7 +1,7 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax.
 
-A word has a vector for itself and one for each of its character n-grams, of 3 to 5 characters
-with marks at its ends, in hashed rows of one table; unseen spellings share the n-grams of
+A word has a vector for each of its character n-grams, of 3 to 5 characters with marks at its
+ends, in hashed rows of one table, and none for itself unless it has 3 letters at most; unseen spellings share the n-grams of
 seen ones. A passage is the mean over its words of the means of their vectors, and a linear
 softmax over two classes judges it. Vectors and softmax are trained jointly, in numpy, on a
 bounded sample of labelled documents. As labels are of documents, while a few words make one
