@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder of spark.checkpoint.dir, so that no executor's loss costs its lineage.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    A folder of this machine is set only in local mode, where the session names none, as in tests;
+    on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getConf().get("spark.checkpoint.dir") is None and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sievelight-"))
     return df.checkpoint()
 

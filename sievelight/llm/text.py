@@ -10,7 +10,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes handled at once; a longer document makes a chunk of its own.
@@ -169,6 +170,25 @@ def with_text_columns(df: DataFrame, text: str, schema: T.StructType, make: Call
     return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, T.StructType(shown + list(schema)))
 
 
+def whole(name: str) -> Column:
+    """Column `name` as a whole number; null where it is none, as for ids that are words."""
+    return F.col(f"`{name}`").try_cast("bigint")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have, in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id isn't in column `id` of gone; no column's name can clash, as rows travel in a struct."""
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), whole(id_col).alias("id"))
+    return rows.join(gone.select("id"), "id", "left_anti").select("row.*")
+
+
 def ship(df: DataFrame) -> DataFrame:
     """Lets Python workers on this machine import this package from where the driver did."""
     import os
