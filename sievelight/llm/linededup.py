@@ -2,61 +2,71 @@
 
 A line is the set of its words (lower case, without punctuation). Two lines match when the
 Jaccard similarity of their sets is `threshold` at least. Words are ordered by rarity over all
-lines, and a line enters the join under the words of its prefix only: with n words, any match
-shares one of the n - ceil(threshold * n) + 1 rarest. Under each word, lines meet those of a
+lines, of equals by their hash, and a line enters the join under the words of its prefix only: with n
+words, any match shares one of the n - ceil(threshold * n) + 1 rarest. Under each word, lines meet those of a
 size that the threshold allows (length filter), unless the places of the word in both leave too
 few words to share (positional filter) or 128 parity bits of the sets already differ in more bits
 than matching sets can (bitmap filter). None of the filters drops a match. What is left is
 verified on the whole sets. A line goes when any earlier line, by (id, number), matches it.
 
-Prefixes travel as packed arrays, one row for each block of words and chunk of documents. Equal
-sets are one entry of the join, in a chunk and again under each word, so a line in very many
-documents costs a row for each chunk. For verification the lines of a group of pairs meet in one
-task, each once, and only lines that have a candidate pair travel with their words.
+Prefixes travel as packed arrays (module exchange). Equal sets are one entry of the join, in a
+chunk and again under each word, so a line in very many documents costs a row for each chunk.
+For verification only lines that have a candidate pair travel with their words, in two joins
+that may be skewed at will.
 
 Defined results: lines are cut at line feeds and numbered from 0; lines without words, and so
 null and empty texts, match nothing and stay. Equal lines within a document match too. Rows
 with equal ids are one document whose lines have the same places, so none of two equal rows
-removes the other's lines. Null ids take no part. An empty table gives no rows. Columns other
-than id and text are neither read nor touched; `deduplicate` also sets the number of characters.
+removes the other's lines. Ids that are null or no whole numbers take no part. An empty table
+gives no rows. A text may have any number of lines, and a line any number of words. Of several
+earlier lines that match, the first is named. Columns other than id and text are neither read
+nor touched, whatever their names; `deduplicate` also sets the number of characters where df has
+that column.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sketch
 from .graph import cut
-from .text import chunked, lower, mix64, ranges, ship, span_hashes, utf8, word_spans
+from .exchange import ROW, Packer, blocks, exchanged, parts_of, rows_of, unpack
+from .text import chunked, lower, mix64, ranges, ship, span_hashes, utf8, whole, word_spans
 
 THRESHOLD = 0.8
 _LEAD = np.uint32(1 << 31)
 _EPS = 1e-9
 
 
-def line_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def line_words(column: pa.Array, rank: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, line number, first word, words) of the distinct words of every line that has words.
 
     Per line: the row of its text, its number there, where its words begin, and how many follow.
-    The words themselves, 64-bit hashes in ascending order within a line, come last.
+    The words themselves, 64-bit hashes, come last: within a line by hash, or by what `rank` gives
+    for distinct words in order of their hash, and then by hash.
     """
     raw, off = utf8(lower(column))
     feed = np.flatnonzero(raw == 10)
     start, end = word_spans(raw, off, True)
-    word = span_hashes(raw, start, end)
+    word, which = np.unique(span_hashes(raw, start, end), return_inverse=True)
+    if rank is not None and len(word):
+        order = np.argsort(rank(word), kind="stable")
+        place = np.empty(len(word), np.int64)
+        place[order] = np.arange(len(word))
+        word, which = word[order], place[which]
     cuts = np.unique(np.concatenate([off[:-1], feed]))
     line = np.searchsorted(cuts, start, "right") - 1
-    order = np.argsort((line.astype(np.uint64) << np.uint64(40)) | (word >> np.uint64(24)))
-    word, line = word[order], line[order]
-    fresh = np.append(True, (word[1:] != word[:-1]) | (line[1:] != line[:-1]))[: len(word)]
-    word, line = word[fresh], line[fresh]
+    # One number for line and word: both are counted within the chunk, so it always fits.
+    both = np.sort(line * max(1, len(word)) + which)
+    both = both[np.append(True, both[1:] != both[:-1])[: len(both)]]
+    line, word = both // max(1, len(word)), word[both % max(1, len(word))]
     first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
     at = line[first]
     row = np.searchsorted(off, cuts[at], "right") - 1
@@ -70,35 +80,10 @@ def word_hashes(column: pa.Array) -> np.ndarray:
     return span_hashes(raw, *word_spans(raw, np.union1d(off, np.flatnonzero(raw == 10)), True))
 
 
-def _rarity(count: np.ndarray) -> np.ndarray:
-    """Counts as 12 bits that keep their order, coarser as they grow."""
-    count = count.astype(np.float64)
-    return np.minimum(np.where(count < 1024, count, 1024 + (np.log2(np.maximum(count, 1024)) - 10) * 128), 4095).astype(np.uint64)
-
-
-def _pack(x: np.ndarray) -> bytes:
-    """Bytes by place, so that the many equal high ones lie together for compression."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-
-
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
-def _blobs(block: np.ndarray, columns: list[np.ndarray]) -> list[pa.Array]:
-    """One row for each block: its number, and its part of each column, packed."""
-    order = np.argsort(block, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0)) if len(block) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(order))
-    parts = [[_pack(c[lo:hi]) for lo, hi in zip(cuts, ends)] for c in (x[order] for x in columns)]
-    return [pa.array(block[order[cuts]], pa.int64()), *[pa.array(x, pa.binary()) for x in parts]]
-
-
 _PREFIX = [("word", np.uint64), ("doc", np.int64), ("line", np.int32), ("set", np.uint64), ("bits", np.uint64), ("more", np.uint64), ("n", np.int32), ("pos", np.uint32)]
 _ENDS = [("a", np.int64), ("al", np.int32), ("b", np.int64), ("bl", np.int32)]
-_FOUND = T.StructType([T.StructField("home", T.LongType()), *[T.StructField(c, T.BinaryType()) for c, _ in _ENDS], T.StructField("equal", T.BooleanType())])
+_ENTRY, _EQUAL, _MAYBE = 0, 1, 2
 _PAIR = T.StructType([T.StructField(c, t) for c, t in (("a", T.LongType()), ("al", T.IntegerType()), ("b", T.LongType()), ("bl", T.IntegerType()), ("equal", T.BooleanType()))])
-_BLOCKS = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(c, T.BinaryType()) for c, _ in _PREFIX], *_FOUND.fields])
 
 
 def _settle(order: np.ndarray, same: np.ndarray) -> np.ndarray:
@@ -167,14 +152,8 @@ def _home(b: np.ndarray, bl: np.ndarray, blocks: int) -> np.ndarray:
     return (mix64(b.astype(np.uint64) + mix64(bl.astype(np.uint64))) % np.uint64(blocks)).astype(np.int64)
 
 
-def _found(ends: list[np.ndarray], equal: bool, blocks: int) -> list[pa.Array]:
-    ends = [x.astype(k, copy=False) for x, (_, k) in zip(ends, _ENDS)]
-    rows = _blobs(_home(ends[2], ends[3], blocks), ends)
-    return [*rows, pa.array([equal] * len(rows[0]), pa.bool_())]
-
-
 def _distinct(ends: list[np.ndarray], keys: tuple[int, ...]) -> list[np.ndarray]:
-    """The first of the rows that agree in the columns `keys`, in ascending order of (bl, b, al, a)."""
+    """The first of the rows that agree in the columns `keys`, in ascending order of (b, bl, a, al)."""
     order = np.lexsort([ends[k] for k in (1, 0, 3, 2)])
     ends = [x[order] for x in ends]
     fresh = np.append(True, np.any([ends[k][1:] != ends[k][:-1] for k in keys], axis=0))[: len(order)]
@@ -183,16 +162,17 @@ def _distinct(ends: list[np.ndarray], keys: tuple[int, ...]) -> list[np.ndarray]
 
 def candidates(df: DataFrame, threshold: float) -> DataFrame:
     """Rows (a, al, b, bl, equal) over df (id, text): lines that match, being equal, or may match."""
-    blocks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_of(df)
+    many = 4 * parts
     counts = df.sparkSession.sparkContext.broadcast(sketch.frequencies(df, "text", word_hashes))  # 4 MB for any corpus
-    names = [f.name for f in _BLOCKS]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counts.value
-        # A word counted once is in no other line.
-        rare = _rarity(count) << np.uint64(30)
+        low = np.uint64(len(count) - 1)
+        entries, settled = Packer(_PREFIX, _ENTRY), Packer(_ENDS, _EQUAL)
         for b in chunked(batches, "text"):
-            row, number, first, word = line_words(b.column("text"))
+            # Rarest first; words come in order of their hash, which decides among equals
+            row, number, first, word = line_words(b.column("text"), lambda w: count[(w & low).astype(np.int64)])
             if not len(row):
                 continue
             n = np.diff(first)
@@ -208,73 +188,59 @@ def candidates(df: DataFrame, threshold: float) -> DataFrame:
             origin = _settle(order, same)
             alone = origin == np.arange(len(row))
             copy = np.flatnonzero(~alone & ((doc != doc[origin]) | (number != number[origin])))
-            if len(copy):
-                rows = _found([doc[origin[copy]], number[origin[copy]], doc[copy], number[copy]], True, blocks)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows[0]), pa.int64()), *[pa.nulls(len(rows[0]), pa.binary())] * len(_PREFIX), *rows], names)
-            line = np.repeat(np.arange(len(row)), n)
-            keep = alone[line]
-            line, word = line[keep], word[keep]
-            cell = (word & np.uint64(len(count) - 1)).astype(np.int64)
-            order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | rare[cell] | (word >> np.uint64(34)))
-            begin = np.cumsum(np.where(alone, n, 0)) - np.where(alone, n, 0)
-            line = line[order]
-            place = np.arange(len(line)) - begin[line]
-            prefix = n - np.ceil(threshold * n - _EPS).astype(np.int64) + 1
-            use = np.flatnonzero(place < prefix[line])
-            use = use[count[cell[order[use]]] > 1]
-            line, word, place = line[use], word[order[use]], place[use].astype(np.uint32)
+            yield from settled.add(_home(doc[copy], number[copy], many), [doc[origin[copy]], number[origin[copy]], doc[copy], number[copy]])
+            prefix = np.where(alone, n - np.ceil(threshold * n - _EPS).astype(np.int64) + 1, 0)
+            line = np.repeat(np.arange(len(row)), prefix)
+            place = ranges(prefix)
+            word = word[first[line] + place]
+            # A word counted once is in no other line.
+            use = np.flatnonzero(count[(word & low).astype(np.int64)] > 1)
+            line, word, place = line[use], word[use], place[use].astype(np.uint32)
             if not len(line):
                 continue
             place[np.append(True, line[1:] != line[:-1])] |= _LEAD
-            rows = _blobs((word % np.uint64(blocks)).astype(np.int64), [word, doc[line], number[line].astype(np.int32), kind[line], bits[line], more[line], n[line].astype(np.int32), place])
-            yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(rows[0]), pa.int64()), *[pa.nulls(len(rows[0]), pa.binary())] * len(_ENDS), pa.nulls(len(rows[0]), pa.bool_())], names)
+            yield from entries.add((word % np.uint64(many)).astype(np.int64), [word, doc[line], number[line], kind[line], bits[line], more[line], n[line], place])
+        yield from entries.rest()
+        yield from settled.rest()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            done = b.filter(pc.is_valid(b.column("home")))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(f.name) for f in _FOUND], [f.name for f in _FOUND])
-            b = b.filter(pc.is_valid(b.column("block")))
-            for block, *parts in zip(*[b.column(n).to_pylist() for n in names[: 1 + len(_PREFIX)]]):
-                held.setdefault(block, []).append(parts)
-        pairs: list[list[np.ndarray]] = []
-        while held:
-            _, pieces = held.popitem()
-            columns = [np.concatenate([_unpack(p, k) for p in column]) for column, (_, k) in zip(zip(*pieces), _PREFIX)]
-            del pieces
-            equal, found = join_block(threshold, *columns)
-            pairs.append(found)
-            if len(equal[0]):
-                yield pa.RecordBatch.from_arrays(_found(equal, True, blocks), [f.name for f in _FOUND])
-            if sum(len(p[0]) for p in pairs) > 1 << 21 or not held:
-                found = _distinct([np.concatenate(x) for x in zip(*pairs)], (0, 1, 2, 3))
-                pairs = [found]
-                if len(found[0]) > 1 << 20 or not held:
-                    yield pa.RecordBatch.from_arrays(_found(found, False, blocks), [f.name for f in _FOUND])
-                    pairs = []
+        maybe: list[list[np.ndarray]] = []
+        equals = Packer(_ENDS, _EQUAL)
+
+        def give(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+            """Candidate pairs of several blocks, those that met under more than one word once."""
+            if maybe and (all_of_it or sum(len(p[0]) for p in maybe) > 1 << 21):
+                found = _distinct([np.concatenate(x) for x in zip(*maybe)], (0, 1, 2, 3))
+                maybe[:] = [found]
+                if all_of_it or len(found[0]) > 1 << 20:
+                    yield rows_of(_home(found[2], found[3], many), found, _ENDS, _MAYBE)
+                    maybe.clear()
+
+        for block, kind, data in blocks(batches):
+            if kind == _EQUAL:
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array([kind] * len(data), pa.int32()), pa.array(data, pa.binary())], [f.name for f in ROW])
+                continue
+            equal, found = join_block(threshold, *unpack(data, _PREFIX))
+            yield from equals.add(_home(equal[2], equal[3], many), equal)
+            maybe.append(found)
+            yield from give(False)
+        yield from give(True)
+        yield from equals.rest()
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-        for b in batches:
-            for home, a, al, c, cl, equal in zip(*[b.column(f.name).to_pylist() for f in _FOUND]):
-                held.setdefault((home, equal), []).append((a, al, c, cl))
-        while held:
-            (_, equal), pieces = held.popitem()
-            ends = [np.concatenate([_unpack(p, k) for p in column]) for column, (_, k) in zip(zip(*pieces), _ENDS)]
-            ends = _distinct(ends, (2, 3) if equal else (0, 1, 2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1]), pa.array(ends[2]), pa.array(ends[3]), pa.array(np.full(len(ends[0]), equal))], [f.name for f in _PAIR])
-
-    met = df.mapInArrow(spread, _BLOCKS).repartition(F.coalesce("block", "home")).mapInArrow(meet, _FOUND)
-    return met.repartition("home").mapInArrow(settle, _PAIR)
-
-
-def jaccard(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Jaccard similarities of a[i] and b[i], sets as arrays of distinct hashes."""
-    na, nb = (np.array([len(x) for x in s], np.int64) for s in (a, b))
-    if not len(na):
-        return np.zeros(0)
-    value = np.concatenate([*a, *b])
+        for _, kind, data in blocks(batches):
+            ends = _distinct(unpack(data, _ENDS), (2, 3) if kind == _EQUAL else (0, 1, 2, 3))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(np.full(len(ends[0]), kind == _EQUAL))], [f.name for f in _PAIR])
+
+    met = exchanged(df.mapInArrow(spread, ROW), parts).mapInArrow(meet, ROW)
+    return exchanged(met, parts).mapInArrow(settle, _PAIR)
+
+
+def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Jaccard similarities of a[i] and b[i], sets as packed arrays of distinct hashes."""
+    (x, xo), (y, yo) = utf8(a), utf8(b)
+    na, nb = np.diff(xo) // 8, np.diff(yo) // 8
+    value = np.concatenate([np.frombuffer(x.tobytes(), np.uint64), np.frombuffer(y.tobytes(), np.uint64)])
     pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
     order = np.lexsort((value, pair))
     value, pair = value[order], pair[order]
@@ -295,14 +261,9 @@ def _of_line(doc: pa.Array, line: pa.Array) -> np.ndarray:
 
 
 def _verified(df: DataFrame, maybe: DataFrame, threshold: float) -> DataFrame:
-    """(b, bl, a, al): of each line b of the candidate pairs the earliest line that matches it."""
-    # The pairs of b meet at the earliest of its partners; in a group of alike lines that's one place.
-    by_b = Window.partitionBy("b", "bl")
-    homed = maybe.withColumn("home", F.min(F.struct("a", "al")).over(by_b)).select("home", "a", "al", "b", "bl")
-    ends = homed.select("home", F.col("a").alias("x"), F.col("al").alias("xl")).union(homed.select("home", "b", "bl")).distinct()
-
+    """(b, bl, a, al): the candidate pairs that match."""
     # Cells of the documents and lines that have candidates: of fixed size, and only spares work.
-    needed = df.sparkSession.sparkContext.broadcast(sketch.presence(maybe.select("a", "al", "b", "bl"), lambda r: np.concatenate([_of_doc(r["a"]), _of_doc(r["b"]), _of_line(r["a"], r["al"]), _of_line(r["b"], r["bl"])])))
+    needed = df.sparkSession.sparkContext.broadcast(sketch.presence(maybe, lambda r: np.concatenate([_of_doc(r["a"]), _of_doc(r["b"]), _of_line(r["a"], r["al"]), _of_line(r["b"], r["bl"])])))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.unpackbits(needed.value)
@@ -312,53 +273,82 @@ def _verified(df: DataFrame, maybe: DataFrame, threshold: float) -> DataFrame:
             for c in chunked([b], "text"):
                 row, number, first, word = line_words(c.column("text"))
                 doc, number = c.column("id").take(pa.array(row)), pa.array(number, pa.int32())
-                flat = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer((8 * first).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(word))])
+                flat = pa.Array.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer((8 * first).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(word))]).cast(pa.binary())
                 some = pa.array(cells[(_of_line(doc, number) & low).astype(np.int64)] > 0)
                 yield pa.RecordBatch.from_arrays([doc, number, flat], [f.name for f in _WORDS]).filter(some)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, np.ndarray] = {}
-        pairs: list[tuple] = []
-        for batch in batches:
-            for a, al, b, bl, w in zip(*[batch.column(n).to_pylist() for n in ("a", "al", "b", "bl", "words")]):
-                if w is None:
-                    pairs.append((a, al, b, bl))
-                else:
-                    sets[a, al] = np.frombuffer(w, np.uint64)
-        best: dict[tuple, tuple] = {}
-        for lo in range(0, len(pairs), 1 << 14):
-            part = pairs[lo : lo + (1 << 14)]
-            alike = jaccard([sets[p[:2]] for p in part], [sets[p[2:]] for p in part]) >= threshold - _EPS
-            for i in np.flatnonzero(alike):
-                a, b = part[i][:2], part[i][2:]
-                if b not in best or a < best[b]:
-                    best[b] = a
-        if best:
-            rows = [(*b, *a) for b, a in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], [f.name for f in _MATCH])
-
-    known = ends.join(df.mapInArrow(words, _WORDS).dropDuplicates(["x", "xl"]), ["x", "xl"])
-    both = known.select("home", F.col("x").alias("a"), F.col("xl").alias("al"), F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("int").alias("bl"), "words").union(homed.select("home", "a", "al", "b", "bl", F.lit(None).cast("binary")))
-    return both.repartition("home").select("a", "al", "b", "bl", "words").mapInArrow(verify, _MATCH)
+        for b in batches:
+            alike = jaccard(b.column("wa"), b.column("wb")) >= threshold - _EPS
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in _MATCH], [f.name for f in _MATCH]).filter(pa.array(alike))
+
+    known = cut(df.mapInArrow(words, _WORDS).dropDuplicates(["x", "xl"]))
+    end = lambda d, n: known.select(F.col("x").alias(d), F.col("xl").alias(n), F.col("words").alias(f"w{d}"))
+    return maybe.join(end("b", "bl"), ["b", "bl"]).join(end("a", "al"), ["a", "al"]).select("b", "bl", "a", "al", "wa", "wb").mapInArrow(verify, _MATCH)
+
+
+def _first(pairs: DataFrame) -> DataFrame:
+    """(b, bl, m): for each line b the first of its partners."""
+    return pairs.groupBy("b", "bl").agg(F.min(F.struct("a", "al")).alias("m"))
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, line, match_id, match_line): each line that an earlier line matches, and the earliest of those found."""
-    rows = ship(df).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
+    """(id_col, line, match_id, match_line): each line that an earlier line matches, and the first that does."""
+    rows = ship(df).select(whole(id_col).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
     pairs = cut(candidates(rows, threshold))
-    sure = pairs.where("equal").select("b", "bl", "a", "al")
-    found = sure.union(_verified(rows, pairs.where("not equal").select("a", "al", "b", "bl"), threshold))
-    out = found.groupBy("b", "bl").agg(F.min(F.struct("a", "al")).alias("m"))
-    return out.select(F.col("b").alias(id_col), F.col("bl").alias("line"), F.col("m.a").alias("match_id"), F.col("m.al").alias("match_line"))
+    # Of equal lines the first stands for all: a copy names the first of its chunk, and that the first of all.
+    copies = _first(pairs.where("equal").select("b", "bl", "a", "al")).select("b", "bl", F.col("m.a").alias("a"), F.col("m.al").alias("al"))
+    origin = copies.select(F.col("b").alias("a"), F.col("bl").alias("al"), F.struct("a", "al").alias("up"))
+    copies = copies.join(origin, ["a", "al"], "left").select("b", "bl", F.coalesce("up", F.struct("a", "al")).alias("o"))
+    near = _first(_verified(rows, pairs.where("not equal").select("a", "al", "b", "bl"), threshold))
+    # What matches the first of the copies, matches them all.
+    of_origin = near.select(F.struct(F.col("b").alias("a"), F.col("bl").alias("al")).alias("o"), "m")
+    out = copies.join(of_origin, "o", "left").select("b", "bl", F.least("o", F.coalesce("m", "o")).alias("m")).union(near)
+    return _least(out).select(F.col("b").alias(id_col), F.col("bl").alias("line"), F.col("m.a").alias("match_id"), F.col("m.al").alias("match_line"))
+
+
+def _least(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("b", "bl").agg(F.min("m").alias("m"))
+
+
+_WORD = re.compile(r"[0-9A-Za-z]|[^\x00-\x7F]")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
-    """df without the removed lines; documents that lose all their lines with words go."""
-    gone = removed(df, id_col, text, threshold).groupBy(F.col(id_col).alias("__gone_id")).agg(F.collect_set("line").alias("__gone"))
-    joined = df.join(gone, F.col(f"`{id_col}`").cast("bigint") == F.col("__gone_id"), "left")
-    kept = F.array_join(F.filter(F.split(F.col(f"`{text}`"), "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = joined.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(kept))
-    # Words are what line_words takes for them: letters and digits, and all beyond ASCII.
-    out = out.where(F.col("__gone").isNull() | F.col("__text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"))
-    size = [F.char_length("__text").cast(df.schema[n_chars].dataType).alias(n_chars)] if n_chars else []
-    return out.select(*[F.col("__text").alias(f.name) if f.name == text else F.when(F.col("__gone").isNull(), F.col(f"`{f.name}`")).otherwise(size[0]).alias(f.name) if f.name == n_chars else F.col(f"`{f.name}`") for f in df.schema])
+    """df without the removed lines; documents that lose all their lines with words go.
+
+    The columns are those of df, whatever their names; n_chars is set to the new number of characters
+    of the documents that lose lines, where df has a column of that name.
+    """
+    gone = removed(df, id_col, text, threshold).select(F.col(id_col).alias("id"), "line").groupBy("id").agg(F.collect_set("line").alias("gone"))  # the lines of one document
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), whole(id_col).alias("id"))
+    names = df.columns
+    at, sized = names.index(text), names.index(n_chars) if n_chars in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = b.column("row").flatten()
+            lost = b.column("gone")
+            hit = np.flatnonzero(lost.is_valid().to_numpy(zero_copy_only=False))
+            keep = np.ones(b.num_rows, bool)
+            if len(hit):
+                taken = pa.array(hit)
+                new = []
+                for old, out in zip(columns[at].take(taken).to_pylist(), lost.take(taken).to_pylist()):
+                    out = set(out)
+                    # Lines that another row of the same id has may lie beyond this text's end
+                    new.append("\n".join([x for i, x in enumerate((old or "").split("\n")) if i not in out]))
+                keep[hit] = [bool(_WORD.search(t)) for t in new]
+                columns[at] = _replaced(columns[at], hit, new)
+                if sized is not None:
+                    columns[sized] = _replaced(columns[sized], hit, [len(t) for t in new])
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return rows.join(gone, "id", "left").select("row", "gone").mapInArrow(run, df.schema)
+
+
+def _replaced(column: pa.Array, at: np.ndarray, values: list) -> pa.Array:
+    """column with other values at some places."""
+    place = np.arange(len(column))
+    place[at] = len(column) + np.arange(len(at))
+    return pa.concat_arrays([column, pa.array(values).cast(column.type)]).take(pa.array(place))
