@@ -3,21 +3,25 @@
 A document's signature is 256 bits: the signs of a random projection of its words, each
 weighted by (1 + ln tf) * idf, idf being taken from the frequencies over all documents.
 Several tries hold the signatures, each over its own random order of the bits. Documents
-that share a trie's node are compared in full: a node reaches down to the depth at which
-`recall` of the pairs at the largest distance still meet in some trie, and stays at a shorter
-prefix wherever the signatures are sparse. The number of tries follows from the number of
-signatures, as the cheapest that keeps the recall. Pairs within `distance` bits whose counts
-of distinct words differ by less than half are near-duplicates, and groups are the connected
-components of these pairs.
-
-Signatures go through the shuffle as packed arrays, one row for each part of a trie and chunk.
-Equal signatures are one entry of the tries, however many there are, and a node passes on
-only the links that hold its groups together, so groups of thousands of copies stay cheap.
+that share a trie's node are compared in full. The depth of the nodes starts where the density of
+the signatures puts only a few into each, and climbs to shorter prefixes until two conditions
+hold: by formula, `recall` of the pairs at the largest distance meet in some trie; and by
+measurement, as many of the true pairs do that a bounded sample of SAMPLE signatures has among
+all signatures, found by brute force. Where a node is sparse it stays at a shorter prefix still.
+Pairs within `distance` bits whose counts of distinct words differ by less than half are
+near-duplicates, and groups are the connected components of these pairs.
+
+Signatures go through the shuffle as packed arrays (module exchange), one part of a trie at a time
+being held. Parts begin at a short prefix; where that is dense, at the node itself. Equal
+signatures are one entry of the tries, however many there are. A node passes on only the links
+that hold its groups together, and in a dense node what is linked already isn't compared again:
+work there follows the size of the node times the number of its members outside its largest group.
 
 Defined results: texts without words, null and empty ones among them, are near-duplicates only
 of texts that are equal byte by byte. Rows with the same id are one document. Rows whose id is
-null are in no group and stay. Case, punctuation and the order of words don't count. An empty
-table gives no groups. Columns other than id and text are neither read nor touched.
+null or no whole number are in no group and stay. Case, punctuation and the order of words don't
+count. An empty table gives no groups. Columns other than id and text are neither read nor
+touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +37,8 @@ from pyspark.sql import types as T
 
 from . import sketch
 from .graph import components, cut
-from .text import chunked, lower, mix64, ship, span_hashes, utf8, word_spans
+from .exchange import ROW, Packer, blocks, exchanged, parts_of, unpack
+from .text import chunked, lower, mix64, ship, span_hashes, utf8, whole, without, word_spans
 
 BITS = 256
 #: Largest Hamming distance of near-duplicates: signatures 17 % apart, a cosine of about 0.86.
@@ -41,7 +46,10 @@ DISTANCE = 44
 #: Share of the pairs at that distance which the tries find; nearer pairs are found more often.
 RECALL = 0.95
 _CELLS = 4096  # signed cells that words fall into before the projection
+#: Signatures whose true pairs are found by brute force to measure the recall; those of least hashed id.
+SAMPLE = 256
 _LEAF = 32  # a node of so few signatures isn't split further
+_DENSE = 256  # a node of more is looked at anew when neighbours have been linked
 _BUCKET = 1 << 15  # signatures in a part of a trie, on average
 _DOCS = 1024  # documents projected at once
 
@@ -133,6 +141,15 @@ def link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parent
 
 
+def _near(sig: np.ndarray, count: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) that are near-duplicates."""
+    near = np.bitwise_count(sig[i, :2] ^ sig[j, :2]).sum(1, dtype=np.int64) <= distance
+    i, j = i[near], j[near]
+    near = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= distance
+    near &= 2 * np.minimum(count[i], count[j]) >= np.maximum(count[i], count[j])
+    return i[near], j[near]
+
+
 def node_links(signature: np.ndarray, words: np.ndarray, key: np.ndarray, prefix: int, depth: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that hold the groups of near-duplicates within the nodes of a trie's part.
 
@@ -141,44 +158,62 @@ def node_links(signature: np.ndarray, words: np.ndarray, key: np.ndarray, prefix
     n = len(key)
     order = np.argsort(key, kind="stable")
     key, sig, count = key[order], np.ascontiguousarray(signature[order]).view(np.uint64), words[order]
-    end = np.zeros(n, np.int64)
+    begin, end = np.zeros(n, np.int64), np.zeros(n, np.int64)
     todo = np.arange(n)
     for at in range(prefix, depth + 1):
         short = key[todo] >> np.uint64(64 - at) if at else np.zeros(len(todo), np.uint64)
         first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
         size = np.diff(np.append(first, len(todo)))
         done = np.repeat((size <= _LEAF) | (at == depth), size)
+        begin[todo[done]] = np.repeat(todo[first], size)[done]
         end[todo[done]] = np.repeat(todo[first] + size, size)[done]
         todo = todo[~done]
         if not len(todo):
             break
     parent, live, step = np.arange(n), np.arange(n), 1
+    big = end - begin > _DENSE
     while True:
-        live = live[end[live] > live + step]
+        # Neighbours in the order of the keys first; in dense nodes only as many as a small node has
+        live = live[(end[live] > live + step) & (~big[live] | (step <= _LEAF))]
         if not len(live):
             break
         for lo in range(0, len(live), 1 << 18):
             i = live[lo : lo + (1 << 18)]
-            j = i + step
-            near = np.bitwise_count(sig[i, :2] ^ sig[j, :2]).sum(1, dtype=np.int64) <= distance
-            i, j = i[near], j[near]
-            near = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= distance
-            i, j = i[near], j[near]
-            alike = 2 * np.minimum(count[i], count[j]) >= np.maximum(count[i], count[j])
-            parent = link(parent, i[alike], j[alike])
+            i, j = _near(sig, count, i, i + step, distance)
+            parent = link(parent, i, j)
         step += 1
+    for node in np.unique(begin[big]):
+        parent = _dense_node(sig, count, parent, int(node), int(end[node]), distance)
     hang = np.flatnonzero(parent != np.arange(n))
     return order[hang], order[parent[hang]]
 
 
+def _dense_node(sig: np.ndarray, count: np.ndarray, parent: np.ndarray, lo: int, hi: int, distance: int) -> np.ndarray:
+    """Links all that is near in the node lo:hi, comparing nothing that hangs together already.
+
+    Each member outside the largest group is compared with all members of other groups.
+    """
+    inside = np.arange(lo, hi)
+    roots, size = np.unique(parent[inside], return_counts=True)
+    largest = roots[size.argmax()]
+    for i in inside[parent[inside] != largest]:
+        if parent[i] == parent[largest]:
+            continue  # what it could still link is outside, and gets compared with it
+        j = inside[parent[inside] != parent[i]]
+        parent = link(parent, *_near(sig, count, np.full(len(j), i), j, distance))
+    return parent
+
+
 _SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("words", T.IntegerType())])
-_PACKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("sigs", T.BinaryType()), T.StructField("words", T.BinaryType())])
+_ENTRY = [("id", np.int64), ("sig", np.dtype((np.void, BITS // 8))), ("words", np.int32)]
+_HEAD = T.StructType([T.StructField("trie", T.IntegerType()), T.StructField("head", T.LongType()), T.StructField("n", T.LongType())])
+_MET = T.StructType([T.StructField("trie", T.IntegerType()), T.StructField("n", T.LongType())])
 _EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, sig, words) of every row whose id isn't null."""
-    rows = ship(df).select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
+    rows = ship(df).select(whole(id_col).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
     counts = sketch.frequencies(rows, "text", document_words).astype(np.float64)
     n = rows.count()
     idf = df.sparkSession.sparkContext.broadcast(np.maximum(np.log((n + 1) / (counts + 1)), 1e-3).astype(np.float32))  # 4 MB for any corpus
@@ -197,39 +232,112 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return raw.reshape(-1, BITS // 8)
 
 
+def measured(distinct: DataFrame, tries: int, deepest: int, distance: int) -> tuple[int, np.ndarray]:
+    """(true pairs, pairs that meet by depth 0..deepest) of a sample of SAMPLE signatures with all others.
+
+    The sample is compared with every signature by brute force; only counts leave the tasks.
+    """
+    order = distinct.select("id", "sig", "words").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()  # SAMPLE rows
+    if not order:
+        return 0, np.zeros(deepest + 1)
+    own = np.frombuffer(b"".join(bytes(r.sig) for r in order), np.uint8).reshape(-1, BITS // 8)
+    sent = distinct.sparkSession.sparkContext.broadcast((own, np.array([r.words for r in order]), np.array([r.id for r in order])))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sig, words, ids = sent.value
+        mine = np.ascontiguousarray(sig).view(np.uint64)
+        total = np.zeros(65, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            theirs, n, other = _matrix(b.column("sig")), b.column("words").to_numpy(), b.column("id").to_numpy()
+            flat = np.ascontiguousarray(theirs).view(np.uint64)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            for k in range(len(mine)):
+                at = np.flatnonzero(np.bitwise_count(flat ^ mine[k]).sum(1, dtype=np.int64) <= distance)
+                at = at[(2 * np.minimum(n[at], words[k]) >= np.maximum(n[at], words[k])) & (other[at] != ids[k])]
+                found.append((np.full(len(at), k), at))
+            i, j = (np.concatenate(x) for x in zip(*found))
+            for lo in range(0, len(i), 1 << 16):
+                p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
+                meet = np.zeros(len(p), np.int64)
+                for trie in range(tries):
+                    apart = trie_keys(sig[p] ^ theirs[q], trie)
+                    # The bits of the longest common prefix: those before the first that differs
+                    meet = np.maximum(meet, np.where(apart == 0, 64, 63 - np.floor(np.log2(np.maximum(apart, np.uint64(1)).astype(np.float64))).astype(np.int64)))
+                total += np.bincount(np.minimum(meet, 64), minlength=65)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], [f.name for f in _MET])
+
+    total = np.zeros(65)
+    for r in distinct.mapInArrow(count, _MET).groupBy("trie").agg(F.sum("n").alias("n")).collect():  # 65 rows at most
+        total[r["trie"]] = r["n"]
+    upto = np.cumsum(total[::-1])[::-1]
+    return int(total.sum()), upto[: deepest + 1]
+
+
+def climb(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL) -> tuple[int, int, float | None]:
+    """(tries, depth, measured recall at that depth, None without a true pair in the sample)."""
+    tries, depth = plan(max(n, 2), distance, recall)
+    pairs, upto = measured(distinct, tries, depth, distance)
+    while pairs and depth > 0 and upto[depth] < recall * pairs:
+        depth -= 1
+    return tries, depth, float(upto[depth] / pairs) if pairs else None
+
+
 def links(distinct: DataFrame, n: int, distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
     """Edges (a, b) that hold together the near-duplicates among n rows (id, sig, words)."""
-    tries, depth = plan(max(n, 2), distance, recall)
+    tries, depth, _ = climb(distinct, n, distance, recall)
     prefix = min(depth, max(0, math.ceil(math.log2(max(n, 1) / _BUCKET))))
+    parts = parts_of(distinct)
+
+    def heads(sig: np.ndarray, trie: int, bits: int) -> np.ndarray:
+        return (trie_keys(sig, trie) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(sig), np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = _matrix(b.column("sig"))
+            for trie in range(tries):
+                head, many = np.unique(heads(sig, trie, prefix), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(head), trie, np.int32)), pa.array(head), pa.array(many.astype(np.int64))], [f.name for f in _HEAD])
+
+    # Dense beginnings, of which n * tries / (8 * _BUCKET) are possible at most: their parts are single nodes
+    counted = distinct.mapInArrow(count, _HEAD).groupBy("trie", "head").agg(F.sum("n").alias("n")).where(F.col("n") > 8 * _BUCKET)
+    dense = distinct.sparkSession.sparkContext.broadcast({t: np.sort(np.array(h, np.int64)) for t, h in _by_trie(counted).items()} if prefix < depth and n > 8 * _BUCKET else {})
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = Packer(_ENTRY)
         for b in batches:
             if not b.num_rows:
                 continue
-            ids, sig, words = b.column("id").to_numpy(), _matrix(b.column("sig")), b.column("words").to_numpy()
+            ids, sig, words = b.column("id").to_numpy(), np.ascontiguousarray(_matrix(b.column("sig"))), b.column("words").to_numpy()
+            whole_rows = sig.view(_ENTRY[1][1]).ravel()
             for trie in range(tries):
-                head = (trie_keys(sig, trie) >> np.uint64(64 - prefix)).astype(np.int64) if prefix else np.zeros(len(ids), np.int64)
-                order = np.argsort(head, kind="stable")
-                first = np.flatnonzero(np.append(True, np.diff(head[order]) != 0))
-                out: list[list] = [[], [], [], []]
-                for lo, hi in zip(first, np.append(first[1:], len(order))):
-                    at = order[lo:hi]
-                    for column, value in zip(out, ((trie << prefix) + int(head[at[0]]), ids[at].tobytes(), sig[at].tobytes(), words[at].tobytes())):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], [f.name for f in _PACKED])
+                head = heads(sig, trie, prefix)
+                part = (trie << prefix) + head
+                if trie in dense.value:
+                    deep = np.isin(head, dense.value[trie])
+                    # A node's number, negative so that it is no beginning's
+                    part = np.where(deep, -1 - ((trie << depth) + heads(sig, trie, depth)), part)
+                yield from entries.add(part, [ids, whole_rows, words])
+        yield from entries.rest()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for part, ids, sigs, words in zip(*[b.column(f.name).to_pylist() for f in _PACKED]):
-                held.setdefault(part, []).append((np.frombuffer(ids, np.int64), np.frombuffer(sigs, np.uint8).reshape(-1, BITS // 8), np.frombuffer(words, np.int32)))
-        while held:
-            part, pieces = held.popitem()
-            ids, sig, words = (np.concatenate(x) for x in zip(*pieces))
-            i, j = node_links(sig, words, trie_keys(sig, part >> prefix), prefix, depth, distance)
+        for part, _, data in blocks(batches):
+            ids, sig, words = unpack(data, _ENTRY)
+            sig = sig.view(np.uint8).reshape(-1, BITS // 8)
+            known, trie = (depth, (-1 - part) >> depth) if part < 0 else (prefix, part >> prefix)
+            i, j = node_links(sig, words, trie_keys(sig, trie), known, depth, distance)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(ids[j], pa.int64())], ["a", "b"])
 
-    return distinct.mapInArrow(spread, _PACKED).repartition("part").mapInArrow(search, _EDGES)
+    return exchanged(distinct.mapInArrow(spread, ROW), parts).mapInArrow(search, _EDGES)
+
+
+def _by_trie(counted: DataFrame) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for r in counted.select("trie", "head").collect():
+        out.setdefault(r["trie"], []).append(r["head"])
+    return out
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
@@ -244,5 +352,4 @@ def groups(df: DataFrame, id_col: str = "doc_id", text: str = "text", distance:
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:
     """df without the documents that have a near-duplicate of lower id in their group."""
-    gone = groups(df, id_col, text, distance, recall).select(F.col(id_col).alias("__gone_id"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    return without(df, groups(df, id_col, text, distance, recall).select(F.col(id_col).alias("id")), id_col)
