@@ -12,15 +12,17 @@ as long as the next window has its first occurrence next to the last one's. The
 at the next window, not after the factor's last word, so windows across the boundary of two
 factors are checked too. Factors, all of `least` words at least, are merged into spans.
 
-Routed windows go through the shuffle as packed arrays, of about 5.5 bytes a word. A window
+Routed windows go through the shuffle as packed arrays, of about 5.5 bytes a word, which a task
+gathers over all its texts; their number of blocks follows from the size of the input. A window
 whose first occurrence lies in the same chunk of documents is settled there and doesn't take
 part, so a passage in very many documents reaches its block once for each chunk.
 
 Defined results: only matches with an earlier document (of lower id) count, so the first
 document that holds a passage has no span for it and repetitions inside one document are
-none. Rows with equal ids are one document's. Null ids, null and empty texts and texts of
-fewer than `least` words have no spans. An empty table gives no rows. Columns other than id
-and text are neither read nor touched.
+none. Rows with equal ids are one document's. Ids that are null or no whole numbers, null and
+empty texts and texts of fewer than `least` words have no spans. A text may have any number of
+words. An empty table gives no rows. Columns other than id and text are neither read nor touched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,17 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import chunked, mix64, powers, ranges, ship, span_hashes, utf8, word_spans
+from .exchange import GATHERED, blocks, exchanged, parts_of
+from .exchange import ROW as _BLOCK
+from .text import chunked, mix64, powers, ranges, ship, span_hashes, utf8, whole, word_spans
 
 #: Words of the shortest duplicate span.
 LEAST = 50
 _CHUNK = 2 << 20
-_ROUTED = T.StructType([T.StructField("block", T.IntegerType()), *[T.StructField(c, T.BinaryType()) for c in ("anchors", "ids", "starts", "runs", "windows")], T.StructField("a", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("ra", T.LongType()), T.StructField("rs", T.IntegerType())])
+#: Words whose windows are given their anchors at once; places count within such a stretch.
+STRETCH = 1 << 22
 _FACTORS = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType()), T.StructField("ra", T.LongType()), T.StructField("rs", T.IntegerType())])
 
 
@@ -62,6 +66,17 @@ def sliding_least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(key[: len(key) - (width - step)], key[width - step :]) if width > step else key
 
 
+def anchors_of(grams: np.ndarray, span: int) -> np.ndarray:
+    """Of each `span` grams in a row the place of the one of least hash (in 40 bits), of equals the first."""
+    low = np.uint64((1 << 24) - 1)
+    out = []
+    for at in range(0, max(0, len(grams) - span + 1), STRETCH):
+        part = grams[at : at + STRETCH + span - 1]
+        key = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_least(key, span) & low).astype(np.int64) + at)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def factors_of(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, least: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(doc, start, end, reference doc, its start) of the factors, and which windows have an earlier document.
 
@@ -90,14 +105,47 @@ def _factor_arrays(f: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(x, t) for x, t in zip(f, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))]
 
 
+def _routed(block: np.ndarray, tag: np.ndarray, doc: np.ndarray, pos: np.ndarray, run: np.ndarray, short: np.ndarray) -> pa.RecordBatch:
+    """Runs of windows, one row for each block: how many runs, their tags, documents, places and lengths, and all their windows."""
+    order = np.argsort(block, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
+    begin = np.cumsum(run) - run
+    data = []
+    for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
+        h = order[lo:hi]
+        inside = np.repeat(begin[h], run[h]) + ranges(run[h])
+        data.append(b"".join([np.int64(len(h)).tobytes(), tag[h].tobytes(), doc[h].tobytes(), pos[h].tobytes(), run[h].astype(np.uint16).tobytes(), short[inside].tobytes()]))
+    return pa.RecordBatch.from_arrays([pa.array(block[order[cuts]], pa.int64()), pa.array(np.zeros(len(cuts), np.int32)), pa.array(data, pa.binary())], [f.name for f in _BLOCK])
+
+
+def _runs_of(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    out, at = [], 8
+    for kind in (np.uint64, np.int64, np.int32, np.uint16):
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return [*out, np.frombuffer(data, np.uint32, -1, at)]
+
+
 def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """Factors (a, s, e, ra, rs): words s to e, e not included, of document a begin as do words rs of document ra."""
-    ship(df)
-    blocks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = ship(df).select(whole(id_col).alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
+    parts = parts_of(rows)
+    many = 4 * parts
     gram = max(1, least // 2)
     span = least - gram + 1  # grams in a window
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def rest() -> pa.RecordBatch:
+            nonlocal size
+            all_of_it = [np.concatenate(x) for x in zip(*held)]
+            held.clear()
+            size = 0
+            return _routed(*all_of_it)
+
         for b in chunked(batches, "text", _CHUNK):
             raw, off = utf8(b.column("text"))
             start, end = word_spans(raw, off, False)
@@ -107,60 +155,60 @@ def factors(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: in
             word = span_hashes(raw, start, end)
             ids = b.column("id").to_numpy()
             begin = np.searchsorted(row, np.arange(len(ids)))
-            whole = gram_hashes(word, least)
-            at = np.flatnonzero(row[: len(whole)] == row[least - 1 :])  # windows inside one text
+            whole_windows = gram_hashes(word, least)
+            at = np.flatnonzero(row[: len(whole_windows)] == row[least - 1 :])  # windows inside one text
             if not len(at):
                 continue
             grams = gram_hashes(word, gram)
-            low = np.uint64((1 << 24) - 1)
-            key = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-            anchor = (sliding_least(key, span)[at] & low).astype(np.int64)
+            anchor = anchors_of(grams, span)[at]
             doc, pos = ids[row[at]], (at - begin[row[at]]).astype(np.int32)
-            found, later = factors_of(whole[at], doc, pos, least)
+            found, later = factors_of(whole_windows[at], doc, pos, least)
             if len(found[0]):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(found[0]), t) for t in kinds[:6]] + _factor_arrays(found), names)
+                # Settled here; the hash of their document spreads them.
+                yield _settled(found, mix64(found[0].astype(np.uint64)) % np.uint64(many))
             at, anchor, doc, pos = at[~later], anchor[~later], doc[~later], pos[~later]
+            if not len(at):
+                continue
             # Runs of windows that share an anchor, by block.
             head = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(at) != 1)))
             run = np.diff(np.append(head, len(at)))
             tag = grams[anchor[head]]
-            block = (tag % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
-            short = (whole[at] >> np.uint64(32)).astype(np.uint32)
-            out: list[list] = [[] for _ in range(6)]
-            for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-                h = order[lo:hi]
-                inside = np.repeat(head[h], run[h]) + ranges(run[h])
-                for column, value in zip(out, (int(block[h[0]]), tag[h].tobytes(), doc[head[h]].tobytes(), pos[head[h]].tobytes(), run[h].astype(np.uint16).tobytes(), short[inside].tobytes())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]] + [pa.nulls(len(out[0]), t) for t in kinds[6:]], names)
+            held.append(((tag % np.uint64(many)).astype(np.int64), tag, doc[head], pos[head], run, (whole_windows[at] >> np.uint64(32)).astype(np.uint32)))
+            size += 4 * len(at) + 30 * len(head)
+            if size > GATHERED:
+                yield rest()
+        if held:
+            yield rest()
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            done = b.filter(pc.is_valid(b.column("a")))
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(f.name) for f in _FACTORS], [f.name for f in _FACTORS])
-            b = b.filter(pc.is_valid(b.column("block")))
-            for block, *parts in zip(*[b.column(n).to_pylist() for n in names[:6]]):
-                held.setdefault(block, []).append([np.frombuffer(p, t) for p, t in zip(parts, (np.uint64, np.int64, np.int32, np.uint16, np.uint32))])
-        while held:
-            _, pieces = held.popitem()
-            tag, doc, pos, run, short = (np.concatenate(x) for x in zip(*pieces))
-            del pieces
-            run = run.astype(np.int64)
-            key = mix64(np.repeat(tag, run) + short.astype(np.uint64))
-            found, _ = factors_of(key, np.repeat(doc, run), np.repeat(pos.astype(np.int64), run) + ranges(run), least)
+        for _, kind, data in blocks(batches):
+            if kind == _SETTLED:
+                found = [np.concatenate(x) for x in zip(*[_factors_in(d) for d in data])]
+            else:
+                tag, doc, pos, run, short = (np.concatenate(x) for x in zip(*[_runs_of(d) for d in data]))
+                run = run.astype(np.int64)
+                key = mix64(np.repeat(tag, run) + short.astype(np.uint64))
+                found, _ = factors_of(key, np.repeat(doc, run), np.repeat(pos.astype(np.int64), run) + ranges(run), least)
             if len(found[0]):
                 yield pa.RecordBatch.from_arrays(_factor_arrays(found), [f.name for f in _FACTORS])
 
-    names = [f.name for f in _ROUTED]
-    kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).where("id is not null")
-    # Rows settled in their chunk have no block; the hash of their document spreads them.
-    routed = rows.mapInArrow(route, _ROUTED)
-    return routed.repartition(F.coalesce(F.col("block").cast("bigint"), F.col("a"))).mapInArrow(parse, _FACTORS)
+    return exchanged(rows.mapInArrow(route, _BLOCK), parts).mapInArrow(parse, _FACTORS)
+
+
+_SETTLED = 1
+
+
+def _settled(found: list[np.ndarray], block: np.ndarray) -> pa.RecordBatch:
+    """Factors as rows of their own kind, one for each block."""
+    order = np.argsort(block, kind="stable")
+    block, flat = block[order], np.stack([x.astype(np.int64) for x in found])[:, order]
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    data = [flat[:, a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(block)))]
+    return pa.RecordBatch.from_arrays([pa.array(block[cuts].astype(np.int64)), pa.array(np.full(len(cuts), _SETTLED, np.int32)), pa.array(data, pa.binary())], [f.name for f in _BLOCK])
+
+
+def _factors_in(data: bytes) -> list[np.ndarray]:
+    return list(np.frombuffer(data, np.int64).reshape(5, -1))
 
 
 def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -180,23 +228,27 @@ def spans(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """df with the duplicate spans cut out of its texts; all rows and columns stay."""
-    cuts = spans(df, id_col, text, least).groupBy(F.col(id_col).alias("__cut_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")))).alias("__cuts"))
-    joined = df.join(cuts, F.col(f"`{id_col}`").cast("bigint") == F.col("__cut_id"), "left").drop("__cut_id")
-    schema, shown = df.schema, [f.name for f in df.schema]
+    cuts = spans(df, id_col, text, least).groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e")))).alias("cuts"))  # of one document
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), whole(id_col).alias("id"))
+    names = df.columns
+    place = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(text).to_pylist()
-            for i, cut in enumerate(b.column("__cuts").to_pylist()):
-                if cut:
+            columns = b.column("row").flatten()
+            texts = columns[place].to_pylist()
+            for i, cut in enumerate(b.column("cuts").to_pylist()):
+                if cut and texts[i] is not None:
                     data = texts[i].encode()
                     raw = np.frombuffer(data, np.uint8)
                     start, end = word_spans(raw, np.array([0, len(raw)]), False)
                     kept, at = [], 0
                     for c in cut:
-                        kept.append(data[at : start[c["s"]]])
-                        at = end[c["e"] - 1]
+                        if c["e"] <= len(end):  # rows of one id may differ
+                            kept.append(data[at : start[c["s"]]])
+                            at = end[c["e"] - 1]
                     texts[i] = b"".join([*kept, data[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else b.column(n) for n in shown], shown)
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, schema)
+    return rows.join(cuts, "id", "left").select("row", "cuts").mapInArrow(run, df.schema)
