@@ -15,7 +15,7 @@ components of the pairs. Work follows the number of pairs of intervals within ep
 dimensions: far below the square where the vectors' spectrum falls off, and near it where
 every direction is alike.
 
-Defined results: rows with a null id, and vectors that are null, empty, all zero or have an
+Defined results: rows whose id is null or no whole number, and vectors that are null, empty, all zero or have an
 infinite or NaN element, are in no group and stay. A null element counts 0, and a shorter vector
 goes on with zeros. Only directions count, not lengths. Rows with the same id are one entry of
 several vectors. Repeated rows change nothing. An empty table gives no groups. Columns other than
@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from .graph import components, cut
 from .simhash import link
-from .text import ship
+from .text import ship, whole, without
 
 COSINE = 0.95
 #: Leading principal dimensions with cells, and with box bounds.
@@ -77,7 +77,7 @@ def units(df: DataFrame, id_col: str, vector: str, width: int) -> DataFrame:
             good = np.isfinite(x).all(1)
             yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(good)), _rows(x[good].astype(np.float32) + np.float32(0))], [f.name for f in _UNIT])
 
-    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
+    rows = df.select(whole(id_col).alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("id is not null and size(v) > 0")
     return rows.mapInArrow(run, _UNIT)
 
 
@@ -249,7 +249,8 @@ def links(distinct: DataFrame, n: int, width: int, axis: np.ndarray, cosine: flo
     pairs = interval_pairs(packed, parts, cosine)
     data = packed.select(((F.col("part") * 4096) + F.col("nth")).alias("node"), "ids", "vecs")
     sides = pairs.select("s", "t", F.lit(False).alias("second"), F.col("s").alias("node")).union(pairs.where("s < t").select("s", "t", F.lit(True), F.col("t")))
-    met = sides.join(data, "node").repartition(min(max(pairs.count(), 1), 1 << 14), "s", "t").sortWithinPartitions("s", "t", "second")
+    # A pair of intervals at a time is held, whatever the number of partitions
+    met = sides.join(data, "node").repartition("s", "t").sortWithinPartitions("s", "t", "second")
     return met.select("s", "t", "second", "ids", "vecs").mapInArrow(join, _EDGES)
 
 
@@ -267,5 +268,4 @@ def groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cos
 
 def deduplicate(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """df without the vectors that have a near-duplicate of lower id in their group."""
-    gone = groups(df, id_col, vector, cosine).select(F.col(id_col).alias("__gone_id"))
-    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    return without(df, groups(df, id_col, vector, cosine).select(F.col(id_col).alias("id")), id_col)
