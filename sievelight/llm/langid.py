@@ -2,19 +2,23 @@
 
 The pieces are those of a public vocabulary file. Each language has a probability for each
 piece, fitted by expectation maximisation over all segmentations of the words of a bounded
-sample of labelled documents. A word's likelihood is the sum over all its segmentations, by the
-forward algorithm; a text's is the product over its words. Characters that no piece covers have
-a small probability of their own, so every word has a segmentation.
-
-Words with digits say nothing about a language and don't count. A text is given the likeliest language; ties go to the first in alphabetical order. It is
-rejected, with a null language, if it has no words or if its words fit no language: the mean
-log-likelihood of a character is further below that of the sample than `reject` times the
-spread of 16 characters, or of all of a shorter text. Mixtures of languages aren't rejected.
+sample of labelled documents, whole texts of any length. A word's likelihood is the sum over all
+its segmentations, by the forward algorithm; a text's is the product over its words. Characters
+that no piece covers have a small probability of their own, so every word has a segmentation.
+Words may be of any length, as in scripts without spaces: where no piece spans two neighbouring
+characters every segmentation has a cut, so the sum is taken run by run between such places, and
+within a run it slides along with a scale of its own.
+
+Words with digits say nothing about a language and don't count. A text is given the likeliest
+language; ties go to the first in alphabetical order. It is rejected, with a null language, if it
+has no words or if its words fit no language: the mean log-likelihood of a character is further
+below that of the sample than `reject` times the spread of 16 characters, or of all of a shorter
+text. Mixtures of languages aren't rejected.
 
 Defined results: null and empty texts, and such without a word that counts, are rejected with
 null scores. The whole of every text counts. Repeated rows get the same result. Without any
 labelled text there are no languages, and all texts are rejected. An empty table stays empty.
-All columns pass through; those named as an output column are replaced.
+All columns pass through; those named as an output column, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -34,12 +38,14 @@ from .words import Words, part_hash, part_hashes, words_of
 
 #: A sentencepiece model, of which only the pieces are used.
 PIECES = os.environ.get("SIEVELIGHT_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-#: Labelled documents per language for fitting, of at most SAMPLE_CHARS characters.
-SAMPLE, SAMPLE_CHARS = 300, 20_000
+#: Labelled documents per language for fitting, those of least hashed id, whatever their length.
+SAMPLE = 300
 ROUNDS = 3
 REJECT = 8.0
 _MARK = "▁"
 _UNKNOWN = 1e-7  # of a character that no piece covers
+_GROUP = 1 << 17  # characters of words looked at together; a longer word is a group of its own
+_RESCALE = 8  # steps after which the sums of long runs are scaled anew
 
 
 class Lattice:
@@ -58,13 +64,23 @@ class Lattice:
         key = np.zeros(len(size), np.uint64)
         for n in np.unique(size):
             key[size == n] = part_hash(acc, start[size == n], int(n))
-        order = np.argsort(key)
-        self.key, self.id = np.append(key[order], np.uint64(2**64 - 1)), np.append(order, len(size))
         self.none = len(self.pieces)  # the id of no piece
-
-    def find(self, key: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.key, key)
-        return np.where(self.key[at] == key, self.id[at], self.none)
+        #: By length: the hashes of the pieces in order, and their ids.
+        self.sized = {int(n): (np.sort(key[size == n]), np.flatnonzero(size == n)[np.argsort(key[size == n])]) for n in np.unique(size)}
+
+    def matches(self, cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of all pieces within the words cp[off[i]:off[i+1]]."""
+        acc = part_hashes(cp)
+        room = np.repeat(off[1:], np.diff(off)) - np.arange(len(cp))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for n, (keys, ids) in self.sized.items():
+            at = np.flatnonzero(room >= n)
+            key = part_hash(acc, at, n)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = np.flatnonzero(keys[place] == key)
+            for column, value in zip(out, (at[hit], np.full(len(hit), n), ids[place[hit]])):
+                column.append(value)
+        return tuple(np.concatenate(x) for x in out)
 
 
 @lru_cache(2)
@@ -72,45 +88,90 @@ def lattice(path: str = PIECES) -> Lattice:
     return Lattice(path)
 
 
+def _sweep(first: np.ndarray, size: np.ndarray, at: np.ndarray, to: np.ndarray, piece: np.ndarray, p: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations of the beginnings of runs, as (value, log of its scale) for each place.
+
+    Run i has the places first[i] .. first[i] + size[i], its end included. A piece goes from place
+    `at` to place `to`; each place of a run follows from those before it.
+    """
+    langs = p.shape[1]
+    value, scale = np.zeros((int(size.sum()) + len(size), langs)), np.zeros((int(size.sum()) + len(size), langs))
+    value[first] = 1
+    order = np.argsort(-size, kind="stable")  # the longest run first, so that those still going are the first ones
+    first, size = first[order], size[order]
+    run = np.searchsorted(np.sort(first), to, "right") - 1
+    step = to - np.sort(first)[run]
+    key = step * (longest + 1) + (to - at)
+    by = np.argsort(key, kind="stable")
+    at, to, piece, key = at[by], to[by], piece[by], key[by]
+    cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    ends = np.append(cuts[1:], len(key))
+    steps = key[cuts] // (longest + 1)
+    k = 0
+    going = len(size)
+    for e in range(1, int(size[0]) + 1 if len(size) else 0):
+        while going and size[going - 1] < e:
+            going -= 1
+        here = first[:going] + e
+        value[here] = value[here - 1] * _UNKNOWN
+        scale[here] = scale[here - 1]
+        while k < len(cuts) and steps[k] == e:
+            i = slice(cuts[k], ends[k])
+            value[to[i]] += value[at[i]] * p[piece[i]]
+            k += 1
+        if e % _RESCALE == 0 and size[0] > 2 * _RESCALE:
+            # The places that later ones still look back at all come to the scale of this one
+            grown = here[size[:going] > e]
+            factor = 1 / value[grown]
+            scale[grown] -= np.log(factor)
+            for back in range(min(e, longest) + 1):
+                value[grown - back] *= factor
+                scale[grown - back] = scale[grown]
+    return value, scale
+
+
 def word_scores(w: Words, p: np.ndarray, lat: Lattice, expect: np.ndarray | None = None) -> np.ndarray:
     """log-likelihood of each distinct word in each language; p[piece, language], 0 for no piece.
 
     expect: occurrences of each word in each language; then (scores, expected counts of pieces).
     """
-    langs = p.shape[1]
-    size = np.diff(w.off)
-    out = np.zeros((len(size), langs))
+    words, langs = len(w.off) - 1, p.shape[1]
+    out = np.zeros((words, langs))
     counts = np.zeros_like(p)
-    acc = part_hashes(w.cp)
-    for n in np.unique(size):
-        n = int(n)
-        every = np.flatnonzero(size == n)
-        for lo in range(0, len(every), 1 << 14):
-            at = every[lo : lo + (1 << 14)]
-            base = w.off[at]
-            ids: dict[tuple[int, int], np.ndarray] = {}
-            forward = np.zeros((n + 1, len(at), langs))
-            forward[0] = 1
-            for e in range(1, n + 1):
-                forward[e] = forward[e - 1] * _UNKNOWN
-                for s in range(max(0, e - lat.longest), e):
-                    i = ids[s, e] = lat.find(part_hash(acc, base + s, e - s))
-                    forward[e] += forward[s] * p[i]
-            out[at] = np.log(forward[n])
-            if expect is not None:
-                backward = np.zeros_like(forward)
-                backward[n] = 1
-                weight = expect[at] / forward[n]
-                for s in range(n - 1, -1, -1):
-                    backward[s] = backward[s + 1] * _UNKNOWN
-                    for e in range(s + 1, min(n, s + lat.longest) + 1):
-                        i = ids[s, e]
-                        part = p[i] * backward[e]
-                        backward[s] += part
-                        some = np.flatnonzero(i != lat.none)
-                        use = forward[s][some] * part[some] * weight[some]
-                        for k in range(langs):
-                            counts[:, k] += np.bincount(i[some], use[:, k], len(p))
+    lo = 0
+    while lo < words:
+        hi = max(lo + 1, int(np.searchsorted(w.off, w.off[lo] + _GROUP, "right")) - 1)
+        off = w.off[lo : hi + 1] - w.off[lo]
+        at, size, piece = lat.matches(w.cp[w.off[lo] : w.off[hi]], off)
+        # Places inside a word that a piece spans; every segmentation has a cut at the others
+        spanned = np.zeros(off[-1] + 1, np.int64)
+        long = size > 1
+        np.add.at(spanned, at[long] + 1, 1)
+        np.add.at(spanned, at[long] + size[long], -1)
+        begin = np.cumsum(spanned)[:-1] == 0
+        begin[off[:-1][np.diff(off) > 0]] = True
+        start = np.flatnonzero(begin)
+        length = np.diff(np.append(start, off[-1]))
+        of_word = np.searchsorted(off, start, "right") - 1
+        # Each run has a place more than characters
+        first = start + np.arange(len(start))
+        shift = np.searchsorted(start, at, "right") - 1
+        a, b = at + shift, at + size + shift
+        value, scale = _sweep(first, length, a, b, piece, p, lat.longest)
+        last = first + length
+        total = np.log(value[last]) + scale[last]
+        for k in range(langs):
+            out[lo:hi, k] = np.bincount(of_word, total[:, k], hi - lo)
+        if expect is not None and len(start):
+            # The same from the other end, places counted backwards
+            flip = int(last[-1])
+            back, back_scale = _sweep((flip - last)[::-1], length[::-1], flip - b, flip - a, piece, p, lat.longest)
+            run = shift
+            weight = expect[lo + of_word[run]] * np.exp(scale[a] + back_scale[flip - b] - total[run])
+            use = value[a] * p[piece] * back[flip - b] * weight
+            for k in range(langs):
+                counts[:, k] += np.bincount(piece, use[:, k], len(p))
+        lo = hi
     return out if expect is None else (out, counts)
 
 
@@ -198,9 +259,9 @@ def score_column(column: pa.Array, model: dict, path: str = PIECES, reject: floa
     return np.where((chars > 0) & (mean >= least), best, -1), mean, lead
 
 
-def sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", size: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """A bounded sample: per label the `size` documents of least hashed id, none beyond `chars`."""
-    rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("l")).where("l is not null and t is not null").where((F.length("t") > 0) & (F.length("t") <= chars))
+def sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", size: int = SAMPLE) -> tuple[list[str], list[str]]:
+    """A bounded sample: per label the `size` documents of least hashed id that have a text."""
+    rows = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("string").alias("l")).where("i is not null and l is not null and length(t) > 0")
     ids = rows.select("i", "l").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "i"))).where(F.col("nth") <= size).select("i", "l")
     got = rows.join(F.broadcast(ids), ["i", "l"]).dropDuplicates(["i", "l"]).select("t", "l").collect()  # `size` rows a label
     return [r.t for r in got], [r.l for r in got]

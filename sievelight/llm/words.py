@@ -9,10 +9,6 @@ import pyarrow as pa
 
 from .text import lower, mix64, powers, ranges, span_hashes, utf8, word_spans
 
-#: Code points of a word that are looked at together; a longer word counts as several.
-LONGEST = 48
-
-
 @dataclass
 class Words:
     """Distinct words of a chunk, and where they stand.
@@ -31,26 +27,10 @@ class Words:
 
 
 def words_of(column: pa.Array, before: str, after: str = "") -> Words:
-    """Lower-case words: runs of ASCII letters and digits and of anything beyond ASCII."""
+    """Lower-case words of any length: runs of ASCII letters and digits and of anything beyond ASCII."""
     raw, off = utf8(lower(column))
     start, end = word_spans(raw, off, True)
     doc = np.searchsorted(off, start, "right") - 1
-    size = end - start
-    # Long runs, as of scripts without spaces, are cut at code points, LONGEST bytes or fewer each.
-    if len(size) and size.max() > LONGEST:
-        parts = -(-size // LONGEST)
-        doc = np.repeat(doc, parts)
-        nth = ranges(parts)
-        base = np.repeat(start, parts)
-        s = base + nth * LONGEST
-        e = np.minimum(s + LONGEST, np.repeat(end, parts))
-        tail = (raw & 0xC0) == 0x80
-        for _ in range(3):
-            s = s + ((s < len(raw)) & tail[np.minimum(s, len(raw) - 1)] & (nth > 0))
-            e = e + ((e < len(raw)) & tail[np.minimum(e, len(raw) - 1)])
-        start, end = s, e
-        some = end > start
-        start, end, doc = start[some], end[some], doc[some]
     key = span_hashes(raw, start, end)
     distinct, first, which = np.unique(key, return_index=True, return_inverse=True)
     n = end[first] - start[first]
