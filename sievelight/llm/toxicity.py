@@ -1,22 +1,26 @@
 """Toxicity from subword-bag embeddings averaged into a linear softmax.
 
-A word has a vector for each of its character n-grams, of 3 to 5 characters with marks at its
-ends, in hashed rows of one table, and none for itself unless it has 3 letters at most; unseen spellings share the n-grams of
+A word has a vector for itself and one for each of its character n-grams, of 3 to 5 characters
+with marks at its ends, in hashed rows of one table; unseen spellings share the n-grams of
 seen ones. A passage is the mean over its words of the means of their vectors, and a linear
 softmax over two classes judges it. Vectors and softmax are trained jointly, in numpy, on a
-bounded sample of labelled documents. As labels are of documents, while a few words make one
-toxic, training takes three turns: first every passage has its document's label, then in toxic
-documents only the passages that stood out, at least the highest, are positive.
+bounded sample of labelled documents, whole texts of any length. A row counts the less the fewer
+documents of the sample have it: by df / (df + PRIOR), in training and in scoring alike, so that a
+spelling of few documents isn't learnt by heart. As labels are of documents, while a few words
+make one toxic, training takes three turns: first every passage has its document's label, then in
+toxic documents only the passages that stood out, at least the highest, are positive. Every turn
+takes the same number of steps, whatever the size of the sample.
 
 A document's score is the highest probability over all its passages of PASSAGE words, those
 that start at any word, so the length of a text doesn't dilute it. The threshold lies between
 the scores of the sample's clean and toxic documents.
 
 Defined results: null and empty texts and texts without words score 0. A text shorter than a
-passage is one passage. A word that is repeated at once counts once. The whole of every text counts. Labels that are null, and documents
-without one, aren't trained on; with a single class or none in the sample, every score is 0 and
-nothing is toxic. Repeated rows score alike. All columns pass through; those named as an output
-column are replaced. An empty table stays empty.
+passage is one passage. A word that is repeated at once counts once. The whole of every text
+counts, and words of any length. Labels that are null, and documents without one, aren't trained
+on; with a single class or none in the sample, every score is 0 and nothing is toxic. Repeated
+rows score alike. All columns pass through; those named as an output column, in any case, are
+replaced. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -28,20 +32,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import LengthTable
-from .text import ranges, ship, with_text_columns
+from .text import mix64, ranges, ship, with_text_columns
 from .words import Words, part_hash, part_hashes, words_of
 
-#: Labelled documents for training, clean and toxic, of at most SAMPLE_CHARS characters.
-SAMPLE, SAMPLE_CHARS = (4000, 1600), 12_000
+#: Labelled documents for training, clean and toxic, those of least hashed id.
+SAMPLE = (4000, 1600)
 ROWS, WIDTH, PASSAGE = 1 << 20, 8, 5
 GRAMS = (3, 4, 5)
-#: Documents of the sample that an n-gram must be in; those of fewer have no vector.
-LEAST_DOCS = 8
+#: Documents of the sample at which a row counts half.
+PRIOR = 8.0
 #: One document in so many of the sample sets the threshold.
 HELD = 4
-TURNS, EPOCHS, BATCH, RATE, DECAY = 3, 4, 2048, 0.1, 1e-4
-#: Steps of a turn, at least: a small sample is gone through more often.
-LEAST_STEPS = 400
+TURNS, STEPS, BATCH, RATE, DECAY = 3, 500, 2048, 0.1, 1e-4
 #: How often an error in a clean document counts for the threshold: such documents are the most.
 CLEAN = 10
 CACHED = 1 << 19
@@ -49,10 +51,10 @@ _DOCS = 128  # texts whose n-grams are told apart at once
 
 
 def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(table rows, how many per distinct word) of the n-grams; a shorter word with its marks is one itself."""
+    """(table rows, how many per distinct word): the word itself, then its n-grams."""
     size = np.diff(w.off)
     acc = part_hashes(w.cp)
-    rows, words = [], []
+    rows, words = [mix64(w.key + np.uint64(3))], [np.arange(len(size))]
     for n in GRAMS:
         many = np.maximum(size - n + 1, 0)
         start = np.repeat(w.off[:-1], many) + ranges(many)
@@ -79,45 +81,54 @@ def _passages(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin, parts) + PASSAGE * ranges(parts), np.repeat(np.arange(n), parts)
 
 
-def _train(w: Words, rows: np.ndarray, many: np.ndarray, start: np.ndarray, size: np.ndarray, label: np.ndarray, table: np.ndarray, out: np.ndarray, seed: int) -> None:
-    """Adaptive gradient descent over passages, changing table and out."""
+def gradients(table: np.ndarray, out: np.ndarray, rows: np.ndarray, many: np.ndarray, shrink: np.ndarray, word: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table rows, gradient of each, gradient of out) of the weighted cross entropy of passages.
+
+    word: the words of one passage after the other, `size` of them each; rows and many are those
+    of all distinct words; a row's vector counts by `shrink`.
+    """
+    distinct, which = np.unique(word, return_inverse=True)
+    first = (np.cumsum(many) - many)[distinct]
+    n = many[distinct]
+    row = rows[np.repeat(first, n) + ranges(n)]
+    of_word = np.repeat(np.arange(len(distinct)), n)
+    part = (shrink[row] / n[of_word]).astype(np.float32)
+    vector = np.add.reduceat(table[row] * part[:, None], np.cumsum(n) - n, axis=0)
+    share = np.repeat(1 / size, size).astype(np.float32)
+    mean = np.add.reduceat(vector[which] * share[:, None], np.cumsum(size) - size, axis=0)
+    logit = mean @ out
+    p = np.exp(logit - logit.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(size)), label] -= 1
+    p *= weight[:, None]
+    down = np.repeat(p @ out.T, size, axis=0) * share[:, None]
+    of_row, place = np.unique(row, return_inverse=True)
+    grad = np.empty((len(of_row), table.shape[1]), np.float32)
+    for k in range(table.shape[1]):
+        by_word = np.bincount(which, down[:, k], len(distinct))
+        grad[:, k] = np.bincount(place, by_word[of_word] * part, len(of_row))
+    return of_row, grad, mean.T @ p
+
+
+def _train(w: Words, rows: np.ndarray, many: np.ndarray, shrink: np.ndarray, start: np.ndarray, size: np.ndarray, label: np.ndarray, table: np.ndarray, out: np.ndarray, seed: int) -> None:
+    """Adaptive gradient descent over passages, changing table and out; only rows that occur in a step are touched."""
     sums, out_sum = np.full_like(table, 1e-12), np.full_like(out, 1e-12)
-    first = np.cumsum(many) - many
     rng = np.random.Generator(np.random.PCG64(seed))
     weight = len(label) / (2 * np.maximum(np.bincount(label, minlength=2), 1))
-    batches = max(1, -(-len(label) // BATCH))
-    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
-    steps = epochs * batches
-    done = 0
-    for _ in range(epochs):
-        order = rng.permutation(len(label))
-        for lo in range(0, len(order), BATCH):
-            at = order[lo : lo + BATCH]
-            word = w.which[np.repeat(start[at], size[at]) + ranges(size[at])]
-            of = np.repeat(np.arange(len(at)), size[at])
-            n = many[word]
-            row = rows[np.repeat(first[word], n) + ranges(n)]
-            part = np.repeat(1 / (n * size[at][of]), n).astype(np.float32)
-            bag = np.repeat(of, n)
-            edge = np.flatnonzero(np.append(True, bag[1:] != bag[:-1]))
-            mean = np.add.reduceat(table[row] * part[:, None], edge, axis=0)
-            logit = mean @ out
-            p = np.exp(logit - logit.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(at)), label[at]] -= 1
-            p *= (weight[label[at]] / len(at))[:, None]
-            rate = RATE * (1 - done / steps)
-            grad = p @ out.T
-            down = mean.T @ p
-            out_sum += down**2
-            out -= rate * down / np.sqrt(out_sum)
-            step = grad[bag] * part[:, None]
-            step[row == 0] = 0  # n-grams without a vector
-            for k in range(table.shape[1]):
-                g = np.bincount(row, step[:, k], len(table)).astype(np.float32) + DECAY * table[:, k]
-                sums[:, k] += g * g
-                table[:, k] -= rate * g / np.sqrt(sums[:, k])
-            done += 1
+    order, lo = rng.permutation(len(label)), 0
+    for step in range(STEPS):
+        if lo >= len(order):
+            order, lo = rng.permutation(len(label)), 0
+        at = order[lo : lo + BATCH]
+        lo += BATCH
+        word = w.which[np.repeat(start[at], size[at]) + ranges(size[at])]
+        row, grad, down = gradients(table, out, rows, many, shrink, word, size[at], label[at], weight[label[at]] / len(at))
+        rate = RATE * (1 - step / STEPS)
+        out_sum += down**2
+        out -= rate * down / np.sqrt(out_sum)
+        grad += DECAY * table[row]
+        sums[row] += grad * grad
+        table[row] -= rate * grad / np.sqrt(sums[row])
 
 
 def _word_scores(rows: np.ndarray, many: np.ndarray, lean: np.ndarray) -> np.ndarray:
@@ -169,24 +180,20 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     start, doc = start[~held[doc]], doc[~held[doc]]
     count = np.bincount(w.doc, minlength=len(texts))
     size = np.minimum(PASSAGE, (np.cumsum(count))[doc] - start)
-    # Rows of n-grams in few documents are left out: they would only learn those documents by heart.
-    common = np.flatnonzero(_doc_counts(w, rows, many, len(texts)) >= LEAST_DOCS)
+    seen = _doc_counts(w, rows, many, len(texts))
+    common = np.flatnonzero(seen)
     compact = np.zeros(ROWS, np.int64)
-    compact[common] = np.arange(len(common)) + 1
+    compact[common] = np.arange(len(common))
     rows = compact[rows]
+    shrink = (seen[common] / (seen[common] + PRIOR)).astype(np.float32)
     rng = np.random.Generator(np.random.PCG64(17))
 
-    def fresh() -> np.ndarray:
-        table = ((rng.random((len(common) + 1, WIDTH)) - 0.5) / WIDTH).astype(np.float32)
-        table[0] = 0
-        return table
-
     y = label[doc]
     keep, positive = np.ones(len(y), bool), y == 1
     for turn in range(TURNS):
-        table, out = fresh(), (rng.random((WIDTH, 2)) - 0.5).astype(np.float32)
-        _train(w, rows, many, start[keep], size[keep], positive[keep].astype(np.int64), table, out, turn)
-        lean = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
+        table, out = ((rng.random((len(common), WIDTH)) - 0.5) / WIDTH).astype(np.float32), (rng.random((WIDTH, 2)) - 0.5).astype(np.float32)
+        _train(w, rows, many, shrink, start[keep], size[keep], positive[keep].astype(np.int64), table, out, turn)
+        lean = (table @ (out[:, 1] - out[:, 0]) * shrink).astype(np.float32)
         word = _word_scores(rows, many, lean)
         acc = np.append(0, np.cumsum(word[w.which]))
         score = (acc[start + size] - acc[start]) / size
@@ -199,7 +206,7 @@ def fit(texts: list[str], labels: list[int]) -> dict:
     final = document_scores(w.which, w.doc, len(texts), word)
     known = ~np.isnan(final) & (held if held.any() else True)
     spread = np.zeros(ROWS, np.float32)
-    spread[common] = lean[1:]
+    spread[common] = lean
     return {"lean": spread, "threshold": cutoff(final[known], label[known])}
 
 
@@ -217,18 +224,18 @@ def cutoff(score: np.ndarray, label: np.ndarray) -> float:
     return float(s[at] - gap.max() / 4)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, size: tuple[int, int], chars: int) -> tuple[list[str], list[int]]:
-    """Per class the size[class] labelled documents of least hashed id, none beyond `chars`; a document with both labels is toxic."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, size: tuple[int, int]) -> tuple[list[str], list[int]]:
+    """Per class the size[class] labelled documents of least hashed id that have a text; a document with both labels is toxic."""
     marked = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label}`").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
-    short = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t")).where((F.length("t") > 0) & (F.length("t") <= chars))
-    ids = short.select("i").distinct().join(marked, "i").withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("nth") <= F.when(F.col("y") == 0, size[0]).otherwise(size[1])).select("i", "y")
-    got = short.join(F.broadcast(ids), "i").dropDuplicates(["i"]).select("i", "t", "y").collect()  # size[class] rows
+    held = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text}`").alias("t")).where("length(t) > 0")
+    ids = held.select("i").distinct().join(marked, "i").withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))).where(F.col("nth") <= F.when(F.col("y") == 0, size[0]).otherwise(size[1])).select("i", "y")
+    got = held.join(F.broadcast(ids), "i").dropDuplicates(["i"]).select("i", "t", "y").collect()  # size[class] rows
     got.sort(key=lambda r: r.i)
     return [r.t for r in got], [r.y for r in got]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", size: tuple[int, int] = SAMPLE, chars: int = SAMPLE_CHARS) -> dict:
-    return fit(*sample(docs, labels, id_col, text, label, size, chars))
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", size: tuple[int, int] = SAMPLE) -> dict:
+    return fit(*sample(docs, labels, id_col, text, label, size))
 
 
 _cache: dict[tuple, tuple[LengthTable, list[np.ndarray]]] = {}
