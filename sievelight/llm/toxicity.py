@@ -40,7 +40,7 @@ SAMPLE = (4000, 1600)
 ROWS, WIDTH, PASSAGE = 1 << 20, 8, 5
 GRAMS = (3, 4, 5)
 #: Documents of the sample at which a row counts half.
-PRIOR = 8.0
+PRIOR = 3.0
 #: One document in so many of the sample sets the threshold.
 HELD = 4
 TURNS, STEPS, BATCH, RATE, DECAY = 3, 500, 2048, 0.1, 1e-4
