@@ -256,7 +256,7 @@ def score_column(column: pa.Array, model: dict, path: str = PIECES, reject: floa
     least = model["mean"][best] - reject * model["sd"][best] * np.maximum(1 / np.sqrt(size), 0.25)
     lead = np.where(chars > 0, (top - rest.max(1)) / size if langs > 1 else np.inf, np.nan)
     mean = np.where(chars > 0, top / size, np.nan)
-    return np.where((chars > 0) & (mean >= least), best, -1), mean, lead
+    return np.where((chars > 0) & (mean >= least - 1e-9), best, -1), mean, lead
 
 
 def sample(df: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "lang", size: int = SAMPLE) -> tuple[list[str], list[str]]:
