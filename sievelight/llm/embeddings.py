@@ -10,8 +10,9 @@ as packed arrays, one task to a pair, in which the same descent goes on to block
 compared in full. No step drops a pair within epsilon, so the result is exact.
 
 Equal vectors are one entry of the join, and a pair of intervals passes on only the links that
-hold its groups together, so groups of thousands of copies stay cheap. Groups are the connected
-components of the pairs. Work follows the number of pairs of intervals within epsilon over the leading
+hold its groups together and how many each vector has, so groups of thousands of copies stay
+cheap. Every pair of different vectors meets once, so the numbers of links are exact. Groups are
+the connected components of the pairs. Work follows the number of pairs of intervals within epsilon over the leading
 dimensions: far below the square where the vectors' spectrum falls off, and near it where
 every direction is alike.
 
@@ -50,7 +51,7 @@ _UNIT = T.StructType([T.StructField("id", T.LongType()), T.StructField("vec", T.
 _SUMS = T.StructType([T.StructField("at", T.IntegerType()), T.StructField("sum", T.DoubleType())])
 _KEYED = T.StructType([*_UNIT, T.StructField("key", T.LongType())])
 _PACKED = T.StructType([T.StructField("part", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("vecs", T.BinaryType()), *[T.StructField(f"{side}{i}", T.DoubleType()) for side in ("lo", "hi") for i in range(BOUNDS)]])
-_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType())])
 
 
 def flat_vectors(column: pa.Array, width: int) -> np.ndarray:
@@ -127,15 +128,15 @@ def gap_squares(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.n
     return float((gap * gap).sum())
 
 
-def interval_links(a: np.ndarray, b: np.ndarray | None, axis: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links that hold the groups among the rows of a and b together, or of a alone, as indices into both.
+def interval_links(a: np.ndarray, b: np.ndarray | None, axis: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links that hold the groups among the rows of a and b together, or of a alone, as indices into both; and each row's number of links.
 
     Both are in grid order; halves are joined with halves until blocks are left.
     """
     eps2 = 2 - 2 * cosine + _SLACK
     x = a if b is None else np.concatenate([a, b])
     y = x[:, : len(axis)] @ axis.astype(np.float32)[:, :BOUNDS]
-    parent = np.arange(len(x))
+    parent, degree = np.arange(len(x)), np.zeros(len(x), np.int64)
     boxes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
     def box(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +153,25 @@ def interval_links(a: np.ndarray, b: np.ndarray | None, axis: np.ndarray, cosine
             halves = [[(r[0], (r[0] + r[1]) // 2), ((r[0] + r[1]) // 2, r[1])] if r[1] - r[0] > BLOCK else [r] for r in (s, t)]
             todo += [(p, q) for p in halves[0] for q in halves[1] if s != t or p <= q]
             continue
-        i, j = np.nonzero(x[s[0] : s[1]] @ x[t[0] : t[1]].T >= cosine - _SLACK)
+        like = x[s[0] : s[1]] @ x[t[0] : t[1]].T
+        if s == t:
+            like = np.triu(like, 1)
+        sure = like >= cosine + _SLACK
+        degree[s[0] : s[1]] += sure.sum(1)
+        degree[t[0] : t[1]] += sure.sum(0)
+        # Single precision can't decide about the others
+        i, j = np.nonzero((like >= cosine - _SLACK) & ~sure)
         i, j = i + s[0], j + t[0]
-        for lo in range(0, len(i), 1 << 16):
-            p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-            apart = (p < q) & (parent[p] != parent[q])
-            p, q = p[apart], q[apart]
-            sure = np.einsum("ij,ij->i", x[p].astype(np.float64), x[q].astype(np.float64)) >= cosine - 1e-9
-            parent = link(parent, p[sure], q[sure])
+        good = np.einsum("ij,ij->i", x[i].astype(np.float64), x[j].astype(np.float64)) >= cosine - 1e-9
+        i, j = i[good], j[good]
+        np.add.at(degree, i, 1)
+        np.add.at(degree, j, 1)
+        p, q = np.nonzero(sure)
+        for lo in range(0, len(p), 1 << 18):
+            parent = link(parent, p[lo : lo + (1 << 18)] + s[0], q[lo : lo + (1 << 18)] + t[0])
+        parent = link(parent, i, j)
     hang = np.flatnonzero(parent != np.arange(len(x)))
-    return hang, parent[hang]
+    return hang, parent[hang], degree
 
 
 def _distant(eps2: float) -> Column:
@@ -196,7 +206,7 @@ def interval_pairs(intervals: DataFrame, parts: int, cosine: float) -> DataFrame
 
 
 def links(distinct: DataFrame, n: int, width: int, axis: np.ndarray, cosine: float) -> DataFrame:
-    """Edges (a, b) that hold together the groups among n rows (id, vec)."""
+    """Edges (a, b) that hold together the groups among n rows (id, vec); and, with b null, parts of a's number of links n."""
     sent = distinct.sparkSession.sparkContext.broadcast(axis)  # the square of the dimensions, AXES at most
     eps = math.sqrt(max(2 - 2 * cosine, 1e-6))
     parts = max(1, math.ceil(n / INTERVAL))
@@ -238,11 +248,14 @@ def links(distinct: DataFrame, n: int, width: int, axis: np.ndarray, cosine: flo
                     first = ids, x
                     if s != t:
                         continue
-                    i, j = interval_links(x, None, sent.value, cosine)
+                    i, j, degree = interval_links(x, None, sent.value, cosine)
                 else:
-                    i, j = interval_links(first[1], x, sent.value, cosine)
+                    i, j, degree = interval_links(first[1], x, sent.value, cosine)
                     ids = np.concatenate([first[0], ids])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], [f.name for f in _EDGES])
+                some = np.flatnonzero(degree)
+                none = pa.nulls(len(i), pa.int64()), pa.nulls(len(some), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), none[0]], [f.name for f in _EDGES])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), none[1], pa.array(degree[some])], [f.name for f in _EDGES])
 
     keyed = distinct.mapInArrow(key, _KEYED).repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
     packed = cut(keyed.select("id", "vec").mapInArrow(pack, _PACKED))
@@ -254,18 +267,48 @@ def links(distinct: DataFrame, n: int, width: int, axis: np.ndarray, cosine: flo
     return met.select("s", "t", "second", "ids", "vecs").mapInArrow(join, _EDGES)
 
 
-def groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(id_col, keep_id) for every vector that has a near-duplicate of lower id in its group: keep_id is the group's least id."""
+def _joined(df: DataFrame, id_col: str, vector: str, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, first) of the vectors, first being the least id of the equal ones; the groups (node, root); and (id, n) links of first."""
     widest = ship(df).agg(F.max(F.size(F.col(f"`{vector}`")))).first()[0]
     width = max(int(widest or 0), 1)
     vectors = cut(units(df, id_col, vector, width))
     equal = vectors.groupBy("vec").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     distinct = cut(equal.select(F.col("first").alias("id"), "vec"))
-    near = links(distinct, distinct.count(), width, principal_axes(distinct, width), cosine)
-    same = vectors.join(equal.where("first <> last"), "vec").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    return components(near.union(same)).where("node <> root").select(F.col("node").alias(id_col), F.col("root").alias("keep_id"))
+    found = cut(links(distinct, distinct.count(), width, principal_axes(distinct, width), cosine))
+    copies = vectors.join(equal.where("first <> last"), "vec").select("id", "first")
+    same = copies.select(F.col("id").alias("a"), F.col("first").alias("b"))
+    return copies, components(found.where("b is not null").select("a", "b").union(same)), found.where("b is null").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
+
+
+def groups(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(id_col, keep_id) for every vector that has a near-duplicate of lower id in its group: keep_id is the group's least id."""
+    _, found, _ = _joined(df, id_col, vector, cosine)
+    return found.where("node <> root").select(F.col("node").alias(id_col), F.col("root").alias("keep_id"))
+
+
+def classes(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(id_col, class_id, n_links) for every id: the least id of its group, and how many different vectors are near.
+
+    Copies count as one vector, and have the links of the one that they equal. An id with several
+    vectors has the links of all of them; one without a direction is a class of its own.
+    """
+    copies, found, degree = _joined(df, id_col, vector, cosine)
+    ids = df.select(whole(id_col).alias("id")).where("id is not null").distinct()
+    entries = copies.where("id <> first").union(ids.select("id", F.col("id").alias("first")))
+    counted = entries.join(degree, "first", "left").groupBy("id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_links"))
+    return counted.join(found.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("class_id"), "n_links")
 
 
 def deduplicate(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """df without the vectors that have a near-duplicate of lower id in their group."""
     return without(df, groups(df, id_col, vector, cosine).select(F.col(id_col).alias("id")), id_col)
+
+
+def sql(cosine: float = COSINE) -> str:
+    """The same classes of table embeddings in SQL."""
+    return f"""
+WITH RECURSIVE d AS (SELECT embedding AS v, min(vec_id) AS f FROM embeddings WHERE vec_id IS NOT NULL GROUP BY 1),
+e AS MATERIALIZED (SELECT a.f AS a, b.f AS b FROM d a JOIN d b ON a.f <> b.f AND list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= {cosine}::DOUBLE - 1e-9),
+r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT x.vec_id, least(d.f, coalesce(c.b, d.f)) AS class_id, coalesce(n.n, 0)::BIGINT AS n_links FROM embeddings x JOIN d ON d.v = x.embedding LEFT JOIN c ON c.a = d.f LEFT JOIN n ON n.a = d.f"""

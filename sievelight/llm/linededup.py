@@ -352,3 +352,20 @@ def _replaced(column: pa.Array, at: np.ndarray, values: list) -> pa.Array:
     place = np.arange(len(column))
     place[at] = len(column) + np.arange(len(at))
     return pa.concat_arrays([column, pa.array(values).cast(column.type)]).take(pa.array(place))
+
+
+def sql(threshold: float = THRESHOLD) -> str:
+    """The same lines of table documents in SQL: distinct sets are joined under the words of their prefixes."""
+    return rf"""
+WITH s AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS s, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line FROM documents WHERE doc_id IS NOT NULL),
+l AS (SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(lower(s), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+'))) AS w FROM s),
+k AS (SELECT w, len(w) AS n, min({{'d': doc_id, 'l': line}}) AS o, row_number() OVER (ORDER BY min({{'d': doc_id, 'l': line}})) AS c FROM l WHERE len(w) > 0 GROUP BY w),
+t AS (SELECT c, n, unnest(w) AS word FROM k),
+f AS (SELECT *, count(*) OVER (PARTITION BY word) AS f FROM t),
+r AS (SELECT c, n, word, row_number() OVER (PARTITION BY c ORDER BY f, word) AS place FROM f),
+p AS (SELECT c, n, word FROM r WHERE place <= n - ceil({threshold} * n - 1e-9) + 1),
+m AS (SELECT DISTINCT a.c AS a, b.c AS b FROM p a JOIN p b ON a.word = b.word AND a.c < b.c AND a.n >= {threshold} * b.n - 1e-9 AND b.n >= {threshold} * a.n - 1e-9),
+v AS (SELECT x.o AS o, m.b AS c, len(list_intersect(x.w, y.w)) AS i, x.n + y.n AS n FROM m JOIN k x ON m.a = x.c JOIN k y ON m.b = y.c),
+e AS (SELECT c, o FROM v WHERE i >= ({threshold} - 1e-9) * (n - i) UNION ALL SELECT c, o FROM k UNION ALL
+  SELECT m.a, y.o FROM m JOIN k x ON m.a = x.c JOIN k y ON m.b = y.c WHERE len(list_intersect(x.w, y.w)) >= ({threshold} - 1e-9) * (x.n + y.n - len(list_intersect(x.w, y.w))))
+SELECT l.doc_id, l.line::INTEGER AS line, min(e.o).d AS match_id, (min(e.o).l)::INTEGER AS match_line FROM l JOIN k ON l.w = k.w JOIN e ON e.c = k.c WHERE e.o < {{'d': l.doc_id, 'l': l.line}} GROUP BY l.doc_id, l.line"""

@@ -19,7 +19,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that an earlier line matches, and such a line."""
+    """Every line that an earlier line matches, and the first that does."""
     return linededup.removed(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -49,8 +49,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector with a near-duplicate of lower id in its group, and the group's least id."""
-    return embeddings.groups(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    """The class of every vector, named by its least id, and the number of different vectors that are near."""
+    return embeddings.classes(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every span of 50 words or more that an earlier document has."""
-    return substring.spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every span of words that are in windows of 50 which an earlier document has."""
+    return substring.spans(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "start_word", "end_word")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.sql()}
+    return {"op2_line_dedup": linededup.sql(), "op6_embeddings": embeddings.sql(), "op7_mixing": mixing.sql(), "op10_substring": substring.sql()}

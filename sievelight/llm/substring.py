@@ -252,3 +252,15 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text: str = "text", least
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.join(cuts, "id", "left").select("row", "cuts").mapInArrow(run, df.schema)
+
+
+def sql(least: int = LEAST) -> str:
+    """The same spans of table documents in SQL, without their references."""
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0b\f\r]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+i AS (SELECT doc_id, w, unnest(range(0, len(w) - {least - 1})) AS s FROM d WHERE len(w) >= {least}),
+g AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + {least}], ' ')) AS g FROM i),
+o AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS f FROM g) WHERE doc_id > f),
+b AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {least} THEN 0 ELSE 1 END AS fresh FROM o),
+n AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM b)
+SELECT doc_id, min(s)::INTEGER AS start_word, (max(s) + {least})::INTEGER AS end_word FROM n GROUP BY doc_id, k"""
