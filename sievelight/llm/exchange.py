@@ -1,6 +1,6 @@
 """Entries of fixed width through the shuffle as packed arrays.
 
-A task gathers its entries, whatever texts they come from, and writes them a few tens of megabytes
+A task gathers its entries, whatever texts they come from, and writes them some megabytes
 at a time, one row for each block that they touch: two columns, `block` and `data`, the latter with
 the bytes of all columns of the entries by place, so that equal high bytes lie together for
 compression. Partitions are sorted by block on the JVM, which spills where it has to, and Python
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of entries that a task gathers before it writes them.
-GATHERED = 32 << 20
+GATHERED = 8 << 20
 ROW = T.StructType([T.StructField("block", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("data", T.BinaryType())])
 NAMES = [f.name for f in ROW]
 Columns = list[tuple[str, type]]

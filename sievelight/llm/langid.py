@@ -44,7 +44,7 @@ ROUNDS = 3
 REJECT = 8.0
 _MARK = "▁"
 _UNKNOWN = 1e-7  # of a character that no piece covers
-_GROUP = 1 << 17  # characters of words looked at together; a longer word is a group of its own
+_GROUP = 1 << 16  # characters of words looked at together; a longer word is a group of its own
 _RESCALE = 8  # steps after which the sums of long runs are scaled anew
 
 

@@ -130,7 +130,7 @@ def join_block(t: float, word: np.ndarray, doc: np.ndarray, line: np.ndarray, ki
     total = np.cumsum(many)
     at = 0
     while at < len(code):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 18), "right")))
         m = many[at:stop]
         j = np.repeat(np.arange(at + 1, stop + 1), m) + ranges(m)
         differ = np.bitwise_count(np.repeat(bits[at:stop], m) ^ bits[j])
@@ -209,10 +209,10 @@ def candidates(df: DataFrame, threshold: float) -> DataFrame:
 
         def give(all_of_it: bool) -> Iterator[pa.RecordBatch]:
             """Candidate pairs of several blocks, those that met under more than one word once."""
-            if maybe and (all_of_it or sum(len(p[0]) for p in maybe) > 1 << 21):
+            if maybe and (all_of_it or sum(len(p[0]) for p in maybe) > 1 << 19):
                 found = _distinct([np.concatenate(x) for x in zip(*maybe)], (0, 1, 2, 3))
                 maybe[:] = [found]
-                if all_of_it or len(found[0]) > 1 << 20:
+                if all_of_it or len(found[0]) > 1 << 18:
                     yield rows_of(_home(found[2], found[3], many), found, _ENDS, _MAYBE)
                     maybe.clear()
 
