@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .analysis import UNICODE, Analyzer
 
-DOTS = "…"
+DOTS = "..."
 
 
 def _escape(c: Column) -> Column:
@@ -24,23 +24,26 @@ def _escape(c: Column) -> Column:
 def extract(text: Column, term: str, length: int = 200, dots: str = DOTS) -> Column:
     """About `length` characters around the first whole-word occurrence of term, in any case; null without one.
 
-    The extract begins at the text's start or ends at its end where the term is near it.
+    The extract is a window of the text with the term in its middle, moved so as not to begin before
+    the text or end after it; a side that is cut has dots.
     """
     if len(term) > length:
         raise ValueError("the term is longer than the extract")
     spare, half = length - len(term), (length - len(term)) // 2
-    pattern = rf"(?i)(?<![0-9A-Za-z_]){re.escape(term)}(?![0-9A-Za-z_])"
     size = F.length(text)
-    at = F.regexp_instr(text, F.lit(pattern)) - 1
+    at = F.regexp_instr(text, F.lit(rf"(?i)(?<![0-9A-Za-z_]){re.escape(term)}(?![0-9A-Za-z_])")) - 1
     end = at + len(term)
-    part = lambda a, b: _escape(text.substr(a + 1, F.greatest(b - a, F.lit(0))))
-    marked = F.concat(F.lit("<term>"), part(at, end), F.lit("</term>"))
     rest = size - end
-    zero, gap = F.lit(0), F.lit(dots)
-    early = F.concat(part(zero, at), marked, F.when(rest < spare - at, part(end, size)).otherwise(F.concat(part(end, end + spare - at - 1), gap)))
-    late = F.concat(F.when(rest > at, part(zero, at)).otherwise(F.concat(gap, part(at - rest, at))), marked, part(end, size))
-    middle = F.concat(gap, part(at - half, at), marked, part(end, end + half), gap)
-    return F.when(at >= 0, F.when(size < length, F.concat(part(zero, at), marked, part(end, size))).when(at < half, early).when(rest < half, late).otherwise(middle))
+    cut = size >= length
+    first = at < half
+    last = ~first & (rest < half)
+    cut_left = cut & ~first & ~(last & (rest > at))
+    cut_right = cut & ~last & ~(first & (rest < spare - at))
+    low = F.when(~cut_left, F.lit(0)).when(last, at - rest).otherwise(at - half)
+    high = F.when(~cut_right, size).when(first, length - 1).otherwise(end + half)
+    part = lambda a, b: _escape(text.substr(a + 1, F.greatest(b - a, F.lit(0))))
+    mark = lambda flag: F.when(flag, F.lit(dots)).otherwise("")
+    return F.when(at >= 0, F.concat(mark(cut_left), part(low, at), F.lit("<term>"), part(at, end), F.lit("</term>"), part(end, high), mark(cut_right)))
 
 
 def first_extract(columns: Iterable[Column], term: str, length: int = 200) -> Column:

@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import to_number, to_string
 from ..schema import Catalog, Field
+from .inverted import Inverted, merge, postings_of
 
 
 @dataclass(frozen=True)
 class Index:
-    """df with one row per document; `order` is the column of ingest order."""
+    """df with one row per document; `order` is the column of ingest order, which tells documents apart.
+
+    inverted: the stored inverted index of its text fields, where there is one; queries on these
+    fields then read postings instead of texts, with the same results.
+    """
 
     df: DataFrame
     fields: dict[str, Field]
     order: str
     name: str = "index"
+    inverted: Inverted | None = None
 
     @classmethod
     def of(cls, df: DataFrame, order: str, *fields: Field, name: str = "index") -> Index:
@@ -61,15 +67,20 @@ class Index:
 
     def postings(self, names: Iterable[str]) -> DataFrame:
         """(field, term, doc, tf, positions, length): the inverted index of some fields."""
-        each = [F.struct(F.lit(n).alias("field"), self.tokens(n).alias("t")) for n in names]
-        flat = self.df.select(F.col(self.order).alias("doc"), F.explode(F.array(*each)).alias("f"))
-        # The array is a column of its own, so that rows of the explosion don't carry it
-        parts = flat.select("doc", "f.field", F.size("f.t").alias("length"), F.col("f.t").alias("t"))
-        placed = parts.select("doc", "field", "length", F.posexplode("t").alias("at", "term"))
-        return placed.groupBy("field", "term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
+        names = list(names)
+        if self.reads_postings(names):
+            return self.inverted.postings.where(F.col("field").isin(*names)).select("field", "term", "doc", "tf", "positions", "length")
+        return postings_of(self.df, self.order, {n: self.tokens(n) for n in names})
+
+    def reads_postings(self, names: Iterable[str]) -> bool:
+        return self.inverted is not None and self.inverted.postings is not None and all(self.inverted.has(n) for n in names)
+
+    def reads_dictionary(self, name: str) -> bool:
+        return self.inverted is not None and self.inverted.has(name)
 
     def where(self, condition: Column) -> Index:
-        return replace(self, df=self.df.where(condition))
+        """The documents for which a condition on their columns holds; the stored index goes on holding all."""
+        return replace(self, df=self.df.where(condition), inverted=None)
 
 
 def union(*indexes: Index) -> Index:
@@ -79,4 +90,6 @@ def union(*indexes: Index) -> Index:
     for i in indexes[1:]:
         df = df.unionByName(i.df.withColumn("index_id", F.lit(i.name)), allowMissingColumns=True)
         fields = {**i.fields, **fields}
-    return Index(df, fields, indexes[0].order, "+".join(i.name for i in indexes))
+    # Documents of several indexes may share a number, so only their dictionaries are taken together
+    inverted = replace(merge([i.inverted for i in indexes]), postings=None) if all(i.inverted is not None for i in indexes) else None
+    return Index(df, fields, indexes[0].order, "+".join(i.name for i in indexes), inverted)

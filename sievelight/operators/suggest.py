@@ -9,11 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.analysis import STANDARD, Analyzer
+from ..functions.analysis import STANDARD, Analyzer, split_values
 from ..plans import nodes as Q
-from ..plans.lower import predicate
 from .index import Index
-from .search import bm25
+from .search import bm25, hits
 
 
 def suggestion_predicate(index: Index, words: Sequence[tuple[str, str]], condition: Q.Query | None = None, union: bool = True) -> DataFrame:
@@ -22,21 +21,24 @@ def suggestion_predicate(index: Index, words: Sequence[tuple[str, str]], conditi
     union: any word does. Otherwise every word has to, in any of its fields, but words that begin no
     term of the index don't count; if that is all of them, nothing matches. The condition always holds.
     """
-    known = [(f, p) for f, p in words if f in index.fields]
-    by_word: dict[str, list[Column]] = {}
-    for f, p in known:
-        by_word.setdefault(p, []).append(predicate(Q.Prefix(f, p), index))
-    tests = {p: reduce(lambda a, b: a | b, cs) for p, cs in by_word.items()}
-    hits = index.df.where(predicate(condition, index)) if condition is not None else index.df
-    if not tests:
-        return hits.limit(0)
+    from .terms import dictionary
+
+    by_word: dict[str, list[Q.Query]] = {}
+    for f, p in words:
+        if f in index.fields:
+            by_word.setdefault(p, []).append(Q.Prefix(f, p))
+    if not by_word:
+        return index.df.limit(0)
+    tests = {p: Q.any_of(*qs) for p, qs in by_word.items()}
+    required = [condition] if condition is not None else []
     if union:
-        return hits.where(reduce(lambda a, b: a | b, tests.values()))
-    # One row says which words begin any term at all
-    alive = index.df.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(f"__w{i}") for i, c in enumerate(tests.values())])
-    every = reduce(lambda a, b: a & b, [~F.col(f"__w{i}") | c for i, c in enumerate(tests.values())])
-    some = reduce(lambda a, b: a | b, [F.col(f"__w{i}") for i in range(len(tests))])
-    return hits.crossJoin(F.broadcast(alive)).where(some & every).select(*[f"`{c}`" for c in hits.columns])  # one row
+        return hits(index, Q.all_of(Q.any_of(*tests.values()), *required)).df.select(*[f"`{c}`" for c in index.df.columns])
+    # Which words begin any term at all: one row from each field's dictionary
+    alive = [any(dictionary(index, q.field).where(F.col("term").startswith(p)).limit(1).count() for q in by_word[p]) for p in tests]
+    kept = [q for q, a in zip(tests.values(), alive) if a]
+    if not kept:
+        return index.df.limit(0)
+    return hits(index, Q.all_of(*kept, *required)).df.select(*[f"`{c}`" for c in index.df.columns])
 
 
 def suggestion_query(index: Index, words: Sequence[tuple[str, str]], condition: Q.Query | None = None, most: int = 1024) -> tuple[Q.Query, bool]:
@@ -99,8 +101,10 @@ class AutoSuggest:
         contexts = index.tokens(self.criteria) if self.criteria else F.array().cast("array<string>")
         payload = F.create_map(*[x for n in self.returned for x in (F.lit(n), F.col(f"`{index.fields[n].source}`").cast("string"))]) if self.returned else F.create_map().cast("map<string,string>")
         if self.terms:
-            each = F.flatten(F.array(*[F.array_distinct(index.tokens(f)) for f in self.fields]))
-            terms = index.df.select(F.explode(each).alias("text")).distinct()
+            from .terms import dictionary
+
+            terms = reduce(lambda a, b: a.union(b), [dictionary(index, f).select(F.col("term").alias("text")) for f in self.fields])
+            terms = terms.distinct() if len(self.fields) > 1 else terms
             return terms.select(F.lit(None).cast("bigint").alias("doc"), "text", F.array("text").alias("tokens"), F.lit(1).cast("bigint").alias("weight"), F.array().cast("array<string>").alias("contexts"), F.create_map().cast("map<string,string>").alias("payload"))
         each = F.flatten(F.array(*[index.values(index.fields[f]) for f in self.fields]))
         rows = index.df.select(F.col(index.order).alias("doc"), F.explode(each).alias("text"), weight(index.df, self.weights).alias("weight"), contexts.alias("contexts"), payload.alias("payload"))
@@ -125,13 +129,45 @@ class AutoSuggest:
         return top.dropDuplicates(["text", "highlight", "doc"]).orderBy(F.desc("weight"), "text", "doc")
 
 
+def similar_queries(index: Index, query: Q.Query, edits: int = 2) -> list[Q.Query]:
+    """The query with one of its terms replaced by a near spelling that the index has, for each such spelling."""
+    from .terms import fuzzy
+
+    out: list[Q.Query] = []
+    for f, t in dict.fromkeys((f, t) for f, t, _ in Q.terms_of(query)):
+        if f in index.fields:
+            out += [Q.substitute(query, f, t, r.term) for r in fuzzy(index, f, t, edits).orderBy("term").toLocalIterator()]
+    return out
+
+
+def similar_questions(index: Index, question, most: int = 50) -> list:
+    """The question without its quotes, where it has any; else with one word replaced by a near spelling from any of its fields."""
+    from dataclasses import replace
+
+    from .terms import fuzzy
+
+    if '"' in question.text:
+        return [replace(question, text=question.text.replace('"', " "))]
+    out: list = []
+    for word in split_values(question.text):
+        known = [f for f in question.fields if f in index.fields]
+        near = reduce(lambda a, b: a.union(b), [fuzzy(index, f, word).select("term") for f in known]) if known else None
+        terms = [r.term for r in near.distinct().orderBy("term").limit(most - len(out)).collect()] if near is not None else []  # `most` is the feature's
+        out += [replace(question, text=question.text.replace(word, t)) for t in terms]
+        if len(out) >= most:
+            break
+    return out
+
+
 def similar_query(index: Index, doc: object, fields: Sequence[str], most_terms: int = 25, least_tf: int = 1, least_df: int = 1) -> Q.Query:
     """A query of the weightiest terms of one document: its own frequency times rarity in the index."""
+    from .terms import dictionary
+
     own = index.where(F.col(index.order) == doc)
     parts: list[Q.Query] = []
     for f in fields:
         tf = own.df.select(F.explode(index.tokens(f)).alias("term")).groupBy("term").agg(F.count("*").alias("tf")).where(F.col("tf") >= least_tf)
-        df = index.terms(f).join(F.broadcast(tf), "term").groupBy("term", "tf").agg(F.count("*").alias("df")).where(F.col("df") >= least_df)  # the terms of one document
+        df = dictionary(index, f).join(F.broadcast(tf), "term").select("term", "tf", F.col("count").alias("df")).where(F.col("df") >= least_df)  # the terms of one document
         n = index.df.agg(F.count("*").alias("n"))
         score = F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)
         top = df.crossJoin(F.broadcast(n)).orderBy(score.desc(), "term").limit(most_terms).collect()  # a query's clauses

@@ -16,11 +16,13 @@ from .index import Index
 
 def dictionary(index: Index, field: str) -> DataFrame:
     """(term, count): every term of a field with the number of its documents."""
+    if index.reads_dictionary(field):
+        return index.inverted.terms(field)
     return index.terms(field).groupBy("term").agg(F.count("*").alias("count"))
 
 
 def values(index: Index, field: str) -> DataFrame:
-    return index.terms(field).select("term").distinct().orderBy("term")
+    return dictionary(index, field).select("term").orderBy("term")
 
 
 def fields(index: Index) -> list[str]:
@@ -29,10 +31,14 @@ def fields(index: Index) -> list[str]:
 
 
 def doc_freq(index: Index, field: str, term: str) -> DataFrame:
+    if index.reads_dictionary(field):
+        return index.inverted.terms(field).where(F.col("term") == term).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
     return index.df.where(F.array_contains(index.tokens(field), term)).agg(F.count("*").alias("count"))
 
 
 def doc_count(index: Index, field: str) -> DataFrame:
+    if index.reads_dictionary(field):
+        return index.inverted.statistics.where(F.col("field") == field).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("count"))
     return index.df.where(F.size(index.tokens(field)) > 0).agg(F.count("*").alias("count"))
 
 

@@ -7,6 +7,7 @@ keywords, numbers and dates reach the Parquet scan.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -50,14 +51,22 @@ def _some(index: Index, field: Field, test) -> Column:
     return test(F.col(f"`{field.source}`"))
 
 
-def predicate(query: Q.Query | None, index: Index) -> Column:
-    """The condition of a query; null counts as false. A field that the index doesn't have matches nothing."""
+def predicate(query: Q.Query | None, index: Index, known: Mapping[Q.Query, Column] | None = None) -> Column:
+    """The condition of a query; null counts as false. A field that the index doesn't have matches nothing.
+
+    known: conditions of some nodes that are there already, as columns. A node of a user's own gives
+    its condition by a method to_column(index).
+    """
+    if known and query in known:
+        return known[query]
     if query is None or isinstance(query, Q.MatchAll):
         return F.lit(True)
+    if hasattr(query, "to_column"):
+        return query.to_column(index)
     if isinstance(query, Q.Boost):
-        return predicate(query.query, index)
+        return predicate(query.query, index, known)
     if isinstance(query, Q.Bool):
-        return _bool(query, index)
+        return _bool(query, index, known)
     if isinstance(query, Q.MatchNone) or query.field not in index.fields:
         return nothing()
     field = index.fields[query.field]
@@ -92,8 +101,8 @@ def predicate(query: Q.Query | None, index: Index) -> Column:
     raise TypeError(f"no such query: {query!r}")
 
 
-def _bool(query: Q.Bool, index: Index) -> Column:
-    must, should, never = ([predicate(q, index) for o, q in query.clauses if o == k] for k in (Q.MUST, Q.SHOULD, Q.MUST_NOT))
+def _bool(query: Q.Bool, index: Index, known: Mapping[Q.Query, Column] | None) -> Column:
+    must, should, never = ([predicate(q, index, known) for o, q in query.clauses if o == k] for k in (Q.MUST, Q.SHOULD, Q.MUST_NOT))
     if not must and not should:
         return nothing()
     # Beside a required clause the optional ones only count for the score
@@ -120,20 +129,48 @@ def _phrase(tokens: Column, query: Q.Phrase) -> Column:
         return nothing()
     if len(terms) == 1:
         return F.array_contains(tokens, terms[0])
+    every = reduce(lambda a, b: a & b, [F.array_contains(tokens, t) for t in dict.fromkeys(terms)])
+    # Places are only looked at where all terms are there
+    return every & F.coalesce(F.when(every, phrase_count(token_places(tokens, terms), query) > 0), nothing())
+
+
+def token_places(tokens: Column, terms: Sequence[str]) -> dict[str, Column]:
+    """The places of some terms in an array of terms."""
+
+    def of(term: str) -> Column:
+        return F.filter(F.transform(tokens, lambda x, i: F.when(x == term, i)), lambda i: i.isNotNull())
+
+    return {t: of(t) for t in dict.fromkeys(terms)}
+
+
+def phrase_count(places: Mapping[str, Column], query: Q.Phrase) -> Column:
+    """How many times a phrase occurs, from the places of its terms.
+
+    Without slop the terms stand side by side. With slop, the places of the terms, each less its place
+    in the phrase, all lie within slop of each other: one budget for the whole phrase. A term that the
+    phrase has twice needs two places.
+    """
+
+    def less(place: Column, k: int) -> Column:
+        return F.transform(place, lambda p: (p - k).cast("int"))
+
+    def within(place: Column, low: Column, a: int, b: int) -> Column:
+        return F.size(F.filter(place, lambda p: p.between(low + a, low + b + query.slop)))
+
+    shifted = [less(places[t], k) for k, t in enumerate(query.terms)]
     if not query.slop:
-        # One array for all places: the terms from each place on are compared with the phrase
-        want = F.array(*[F.lit(t) for t in terms])
-        found = F.exists(F.sequence(F.lit(1), F.size(tokens) - len(terms) + 1), lambda i: F.slice(tokens, i, len(terms)) == want)
-        return F.array_contains(tokens, terms[0]) & (F.size(tokens) >= len(terms)) & F.coalesce(F.when(F.size(tokens) >= len(terms), found), nothing())
-    places = F.filter(F.transform(tokens, lambda t, i: F.when(t == terms[0], i)), lambda i: i.isNotNull())
-
-    def follow(i: Column, k: int) -> Column:
-        if k == len(terms):
-            return F.lit(True)
-        return F.exists(F.sequence(F.lit(1), F.lit(query.slop + 1)), lambda d: (F.get(tokens, i + d) == terms[k]) & follow(i + d, k + 1))
-
-    spread = len(terms) - 1 + query.slop
-    return F.exists(places, lambda i: F.coalesce(follow(i, 1), nothing())) if spread < 32 else nothing()
+        return F.size(reduce(F.array_intersect, shifted))
+
+    def fits(low: Column) -> Column:
+        tests = []
+        for term, place in places.items():
+            spots = [k for k, t in enumerate(query.terms) if t == term]
+            for i in range(len(spots)):
+                for j in range(i, len(spots)):
+                    tests.append(within(place, low, spots[i], spots[j]) > j - i)
+        return reduce(lambda a, b: a & b, tests)
+
+    return F.size(F.filter(reduce(F.array_union, shifted), lambda low: fits(low) & ~fits(low - 1)))
 
 
 def _number(index: Index, field: Field, q: Q.NumberRange) -> Column:

@@ -237,3 +237,16 @@ def terms_of(query: Query) -> list[tuple[str, str, float]]:
     if isinstance(query, Bool):
         return [x for occur, q in query.clauses if occur != MUST_NOT for x in terms_of(q)]
     return []
+
+
+def substitute(query: Query, field: str, old: str, new: str) -> Query:
+    """The query with one term of a field in place of another, wherever it stands; itself where it has none."""
+    if isinstance(query, Term) and (query.field, query.text) == (field, old):
+        return Term(field, new)
+    if isinstance(query, Phrase) and query.field == field and old in query.terms:
+        return Phrase(field, tuple(new if t == old else t for t in query.terms), query.slop)
+    if isinstance(query, Boost):
+        return Boost(substitute(query.query, field, old, new), query.factor)
+    if isinstance(query, Bool):
+        return Bool(tuple((occur, substitute(q, field, old, new)) for occur, q in query.clauses))
+    return query

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 from ..operators.index import Index
 
 MEDIA = {"xml": "application/xml", "html": "text/html", "htm": "text/html", "xhtml": "application/xhtml+xml", "txt": "text/plain", "md": "text/plain", "csv": "text/csv"}
+#: Bytes of a binary file that a translator takes, at most; texts have no limit.
 LARGEST = 30_000_000
 
 
-def listing(spark: SparkSession, root: str, regex: str | None = None, after: str | None = None, content: bool = False, largest: int = LARGEST) -> DataFrame:
+def listing(spark: SparkSession, root: str, regex: str | None = None, after: str | None = None, content: bool = False) -> DataFrame:
     """(path, modified, length[, content]) of the files under root; contents are only read where asked for."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if after:
         reader = reader.option("modifiedAfter", after)
     df = reader.load(root).select("path", F.col("modificationTime").alias("modified"), "length", *(["content"] if content else []))
-    df = df.where(F.col("path").rlike(regex)) if regex else df
-    return df.where(F.col("length") <= largest) if content else df
+    return df.where(F.col("path").rlike(regex)) if regex else df
 
 
 def changes(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -54,27 +54,41 @@ class Translators:
 
     def __init__(self) -> None:
         self.by_type: dict[str, Callable[[bytes], str | None]] = {}
+        self.binary: set[str] = set()
         for t in ("text/xml", "application/xml", "application/xhtml+xml", "text/plain", "text/csv"):
             self.register(t, lambda b: b.decode("utf-8", "replace"))
         self.register("text/html", lambda b: html_text(b.decode("utf-8", "replace")))
 
-    def register(self, media: str, translate: Callable[[bytes], str | None]) -> None:
+    def register(self, media: str, translate: Callable[[bytes], str | None], binary: bool = False) -> None:
+        """binary: contents beyond LARGEST bytes aren't translated."""
         self.by_type[media] = translate
+        (self.binary.add if binary else self.binary.discard)(media)
 
     def get(self, media: str) -> Callable[[bytes], str | None] | None:
         return self.by_type.get(media) or (self.by_type["application/xml"] if media.endswith("+xml") else None)
 
     def translate(self, files: DataFrame) -> DataFrame:
-        """(path, modified, media, text) of files with contents; text is null where there is no translator."""
+        """(path, modified, media, text, problem) of files with contents; text is null where there is no translator, or where problem says why."""
         registry = self
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 media = b["path"].map(media_type)
-                text = [f(c) if (f := registry.get(m)) else None for m, c in zip(media, b["content"])]
-                yield pd.DataFrame({"path": b["path"], "modified": b["modified"], "media": media, "text": text})
-
-        return files.select("path", "modified", "content").mapInPandas(run, "path string, modified timestamp, media string, text string")
+                text, problem = zip(*[registry._one(m, c) for m, c in zip(media, b["content"])]) if len(b) else ((), ())
+                yield pd.DataFrame({"path": b["path"], "modified": b["modified"], "media": media, "text": list(text), "problem": list(problem)})
+
+        return files.select("path", "modified", "content").mapInPandas(run, "path string, modified timestamp, media string, text string, problem string")
+
+    def _one(self, media: str, content: bytes) -> tuple[str | None, str | None]:
+        translate = self.get(media)
+        if translate is None:
+            return None, "no translator"
+        if media in self.binary and len(content) > LARGEST:
+            return None, f"more than {LARGEST} bytes"
+        try:
+            return translate(content), None
+        except Exception as e:  # of a user's own translator: the file is reported, the rest goes on
+            return None, repr(e)
 
 
 def html_text(page: str) -> str:

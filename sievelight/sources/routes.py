@@ -82,8 +82,8 @@ class Route:
 
 
 def file_filter(path: str, include: str | None = None, exclude: str | None = None, extensions: Sequence[str] = ()) -> bool:
-    """Whether a relative path passes: an extension, all of `include`, and not all of `exclude`."""
-    if extensions and path.rpartition(".")[2] not in extensions:
+    """Whether a relative path passes: an extension in any case, all of `include`, and not all of `exclude`."""
+    if extensions and ("." not in path.rpartition("/")[2] or path.rpartition(".")[2].lower() not in extensions):
         return False
     return bool(not include or re.fullmatch(include, path)) and not (exclude and re.fullmatch(exclude, path))
 

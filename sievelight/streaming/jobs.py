@@ -1,10 +1,10 @@
-"""Change streams: priorities, removal of like jobs, debouncing and upserts by micro-batch."""
+"""Change streams: priorities, removal of like jobs, lanes, status, debouncing, upserts by micro-batch and watched folders."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.store import IndexStore
@@ -29,6 +29,18 @@ def after_clear(jobs: DataFrame, index: str = "index", kind: str = "kind", ts: s
     return jobs.withColumn("__clear", last).where(F.col("__clear").isNull() | (F.col(ts) >= F.col("__clear"))).drop("__clear")
 
 
+def lanes(jobs: DataFrame, single: str = "single", key: Sequence[str] = ("index",), many: int = 10) -> DataFrame:
+    """jobs with their `lane`: 0 for those that have to run one by one, else one of `many`, the same for all jobs of a key."""
+    return jobs.withColumn("lane", F.when(F.col(single), F.lit(0)).otherwise(F.pmod(F.xxhash64(*key), F.lit(many)).cast("int") + 1))
+
+
+def status(jobs: DataFrame, index: str | None = None, requester: str | None = None, priority: str = "priority", ts: str = "ts") -> DataFrame:
+    """Queued jobs of an index, of a requester, of both or all, in the order in which they will run."""
+    found = jobs if index is None else jobs.where(F.col("index") == index)
+    found = found if requester is None else found.where(F.col("requester") == requester)
+    return in_order(found, priority, ts)
+
+
 def debounce(jobs: DataFrame, key: Sequence[str], gap: str, ts: str = "ts") -> DataFrame:
     """(key.., first, last, n): runs of jobs of a key less than or as much as `gap` apart; each fires once, `gap` after its last.
 
@@ -48,15 +60,9 @@ def upsert_stream(jobs: DataFrame, store: IndexStore, key: str, order: Sequence[
     def publish(batch: DataFrame, batch_id: int) -> None:
         by = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
         latest = batch.withColumn("__nth", F.row_number().over(by)).where("__nth = 1").drop("__nth")
-        if not store.exists():
-            new = latest.where(~F.col(deleted)).drop(deleted) if deleted else latest
-            version = store.publish(new)
-        elif deleted:
-            from ..operators.store import without
-
-            version = store.publish(without(store.read(), latest, key).unionByName(latest.where(~F.col(deleted)).drop(deleted), allowMissingColumns=True))
-        else:
-            version = store.upsert(latest, key)
+        new = latest.where(~F.col(deleted)).drop(deleted) if deleted else latest
+        # Only the batch is written: its rows as a segment, and what it replaces as tombstones
+        version = store.replace(latest, key, new) if store.exists() else store.publish(new)
         if on_batch:
             on_batch(batch_id, version)
 
@@ -69,6 +75,35 @@ def watch(spark, path: str, schema: str, files_per_trigger: int = 100, kind: str
     return spark.readStream.format(kind).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def watch_folder(spark: SparkSession, root: str, act: Callable[[DataFrame], None], known: DataFrame | None = None, regex: str | None = None, every: str = "5 seconds", rounds: int | None = None, checkpoint: str | None = None):
+    """A running query that lists a folder again and again and calls act with (path, action) of what was created, changed or deleted.
+
+    A file source only sees what is new, so each micro-batch is a listing, compared with the one before.
+    known: (path, modified) of what is there at the start. Changes that come in one interval are one
+    action for each file. rounds: how many listings, without end if None.
+    """
+    from ..sources.folders import changes, listing
+
+    empty = spark.createDataFrame([], "path string, modified timestamp")
+    held = {"known": (known if known is not None else empty).collect(), "left": rounds}  # names and times of one folder's files
+
+    def look(_: DataFrame, batch_id: int) -> None:
+        if held["left"] is not None and held["left"] <= 0:
+            return
+        files = listing(spark, root, regex).select("path", "modified").collect()
+        now = spark.createDataFrame(files, empty.schema)
+        found = changes(now, spark.createDataFrame(held["known"], empty.schema))
+        if not found.isEmpty():
+            act(found)
+        held["known"] = files
+        if held["left"] is not None:
+            held["left"] -= 1
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
+    writer = ticks.writeStream.foreachBatch(look).trigger(processingTime=every)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+
+
 def progress(query) -> dict:
     """Batches and rows done so far, and the last batch's duration."""
     last = query.lastProgress or {}

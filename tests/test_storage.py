@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from sievelight.functions import dates as D
 from sievelight.functions.highlight import extract, fragments, highlight
+from sievelight.operators import search as se
 from sievelight.operators import store as st
+from sievelight.operators import terms as te
+from sievelight.plans import nodes as Q
 from sievelight.schema import Catalog, Field, parse_doc_values, parse_index, parse_numeric
 from sievelight.service import Config, Engine
 from sievelight.sources.fields_xml import definitions, read
@@ -73,22 +76,42 @@ def test_engine_keeps_up_with_a_folder(spark, folder, tmp_path):
 
 
 def test_store(spark, tmp_path):
-    store = st.IndexStore(spark, str(tmp_path / "i"))
+    store = st.IndexStore(spark, str(tmp_path / "i"), {"v": Field("v"), "k": Field("k", "int")})
     rows = lambda *r: spark.createDataFrame(list(r), "k int, v string")
-    assert not store.exists() and store.upsert(rows((1, "a"), (2, "b")), "k") == 1
+    held = lambda: {tuple(r) for r in store.read().select("k", "v").collect()}
+    assert not store.exists() and store.upsert(rows((1, "a x"), (2, "b x")), "k") == 1
     snapshot = store.read()
-    store.upsert(rows((2, "c"), (3, "d")), "k")
-    assert {tuple(r) for r in store.read().collect()} == {(1, "a"), (2, "c"), (3, "d")} and snapshot.count() == 2
+    store.upsert(rows((2, "c x"), (3, "d x"), (None, "n")), "k")
+    assert held() == {(1, "a x"), (2, "c x"), (3, "d x"), (None, "n")} and snapshot.count() == 2
     store.upsert(rows((3, "e")), None)
-    assert store.read().count() == 4
+    assert store.read().count() == 5
+    numbers = [r._ord for r in store.index().df.collect()]
+    assert len(set(numbers)) == 5
+    # Postings follow what is visible
+    index = store.index()
+    assert index.reads_postings(["v"]) and {r.term: r["count"] for r in te.dictionary(index, "v").collect()} == {"a": 1, "c": 1, "d": 1, "e": 1, "n": 1, "x": 3}
+    assert {r.k for r in se.matches(index, Q.Term("v", "x")).collect()} == {1, 2, 3}
     store.delete(F.col("k") == 3)
-    store.update(F.col("k") == 1, "v", F.lit("z"))
-    assert {tuple(r) for r in store.read().collect()} == {(1, "z"), (2, "c")}
-    os.remove(tmp_path / "i" / "CURRENT")  # as if lost between delete and rename
-    assert store.version() == 5
-    store.compact(1)
+    store.delete_matching(Q.Term("v", "n"))
+    assert held() == {(1, "a x"), (2, "c x")}
+    # A value set for sorting moves a document, but is neither searched nor shown
+    store.update(F.col("k") == 1, "k", F.lit(9))
+    index = store.index()
+    assert [r.k for r in se.top(index, index.df, ["-k"]).collect()] == [1, 2] and held() == {(1, "a x"), (2, "c x")}
+    assert se.matches(index, Q.Number("k", 9, "int")).count() == 0 and {r._ord for r in index.df.collect()} < set(numbers)
+    before = sorted((r._ord, r.v) for r in index.df.collect())
+    version = store.compact()
+    assert sorted((r._ord, r.v) for r in store.index().df.collect()) == before and len(store.manifest()["segments"]) == 1
+    # A second writer that made the same version is told so, and what was begun but not named isn't seen
+    with pytest.raises(FileExistsError):
+        store._create(f"manifest-{version:08d}.json", "{}")
+    rows((7, "lost")).write.parquet(str(tmp_path / "i" / "s000099-1" / "docs"))
+    assert store.version() == version and held() == {(1, "a x"), (2, "c x")}
     store.vacuum(1)
-    assert sorted(p.name for p in (tmp_path / "i").iterdir() if p.name.startswith("v")) == ["v00000006"]
+    left = sorted(p.name for p in (tmp_path / "i").iterdir() if not p.name.startswith("."))
+    assert len(left) == 2 and left[0] == f"manifest-{version:08d}.json" and held() == {(1, "a x"), (2, "c x")}
+    store.clear()
+    assert store.read().count() == 0 and store.append(rows((5, "z"))) and held() == {(5, "z")}
 
 
 def test_catalog():
@@ -162,7 +185,7 @@ def test_texts(spark):
     df = spark.createDataFrame([(LIPSUM,), (None,), ("nothing",)], "t string")
     assert [r[0] for r in df.select(highlight(F.col("t"), {"ipsum": 1.0}, 20)).collect()] == ["Lorem <term>ipsum</term> dolor", None, None]
     cut = [r[0] for r in df.select(extract(F.col("t"), "adipiscing", 40)).collect()]
-    assert cut[0].startswith("…") and "<term>adipiscing</term>" in cut[0] and cut[1:] == [None, None]
+    assert cut[0].startswith("...") and "<term>adipiscing</term>" in cut[0] and cut[1:] == [None, None]
     whole = spark.createDataFrame([("a <b> Word c",)], "t string").select(extract(F.col("t"), "word", 50)).first()[0]
     assert whole == "a &lt;b&gt; <term>Word</term> c"
     with pytest.raises(ValueError):
