@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from .functions import dates as D
 from .functions.analysis import STANDARD
 from .functions.highlight import extract, highlight
 from .operators import facets as fc
+from .operators import inverted as inv
 from .operators import search as se
 from .operators import store as st
 from .operators import suggest as su
@@ -47,7 +50,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_built: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, index: Index, build: bool = False) -> Index:
+    """The index with the postings of its texts, which are written to the shared folder once for an application and table, or anew."""
+    key = spark.sparkContext.applicationId, sf_dir, index.name
+    names = [n for n, f in index.fields.items() if f.is_text]
+    if build or key not in _built:
+        path = f"{st.shared_folder(spark)}/index-{index.name}-{uuid.uuid4().hex}"
+        inv.write(index.postings(names), path)
+        _built[key] = path
+    return replace(index, inverted=inv.Inverted.read(spark, _built[key], names))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> Index:
+    return stored(spark, sf_dir, plain_documents(spark, sf_dir))
+
+
+def plain_documents(spark: SparkSession, sf_dir: str) -> Index:
     return Index.of(read(spark, sf_dir, "documents"), "doc_id", Field("text"), Field("lang", "keyword"), Field("source", "keyword"), Field("n_chars", "long"), name="documents")
 
 
@@ -260,8 +281,8 @@ def facet_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({T0})) AS term FROM documents UNION ALL SELECT unnest(list_distinct({T0})) FROM conversations) GROUP BY 1 ORDER BY n DESC, term LIMIT 20")
 def facet_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")
-    both = union(documents(spark, sf_dir), Index.of(talk, "doc_id", Field("text"), name="conversations"))
+    talk = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
+    both = union(documents(spark, sf_dir), stored(spark, sf_dir, Index.of(talk, "doc_id", Field("text"), name="conversations")))
     return fc.FieldFacet("text").values(both, size=20).withColumnRenamed("count", "n")
 
 
@@ -340,11 +361,26 @@ def terms_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te.dictionary(documents(spark, sf_dir), "text").withColumnRenamed("count", "n")
 
 
-@add(f"SELECT term, doc, count(*) AS tf, len AS length FROM (SELECT doc_id AS doc, unnest({T0}) AS term, len({T0}) AS len FROM documents) GROUP BY ALL")
+_POST = f"SELECT doc_id AS doc, t, len(t) AS length, unnest(t) AS term FROM (SELECT doc_id, {T0} AS t FROM documents)"
+
+
+@add(f"SELECT term, doc, count(*) AS tf, any_value(length) AS length FROM (SELECT doc, term, length FROM ({_POST})) GROUP BY term, doc")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).postings(["text"]).select("term", "doc", "tf", F.col("length").cast("bigint").alias("length"))
 
 
+@add(f"SELECT 'text' AS field, count(*) FILTER (len(t) > 0) AS docs, sum(len(t))::BIGINT AS length FROM (SELECT {T0} AS t FROM documents)")
+def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Builds the inverted index of the documents anew; its statistics."""
+    return stored(spark, sf_dir, plain_documents(spark, sf_dir), build=True).inverted.statistics
+
+
+@add(f"SELECT doc_id FROM documents WHERE list_contains({T0}, 'the')")
+def term_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as term_text without a stored index."""
+    return se.matches(plain_documents(spark, sf_dir), Q.Term("text", "the")).select("doc_id")
+
+
 @add(f"SELECT count(*) AS n FROM documents WHERE list_contains({T0}, 'the')")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te.doc_freq(documents(spark, sf_dir), "text", "the").withColumnRenamed("count", "n")
