@@ -13,29 +13,46 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Hash partitions of postings.
-BUCKETS = 64
 #: Given to the readers, as an index without terms has no files to infer them from.
 _POSTINGS = "field string, term string, doc bigint, tf bigint, positions array<int>, length int, bucket int"
 _DICTIONARY = "field string, term string, df bigint"
 _STATISTICS = "field string, docs bigint, length bigint"
 
 
-def bucket_of(field: Column, term: Column, buckets: int = BUCKETS) -> Column:
+def bucket_of(field: Column, term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(field, term), F.lit(buckets)).cast("int")
 
 
-def postings_of(df: DataFrame, order: str, tokens: dict[str, Column]) -> DataFrame:
-    """(field, term, doc, tf, positions, length) of the token arrays of each document: one exchange by (field, term, doc)."""
+def bucket_number(field: str, term: str, buckets: int) -> int:
+    """bucket_of for one term, on the driver: the hash of the term is seeded with that of the field."""
+    h = 42
+    for text in (field, term):
+        h = xxhash.xxh64_intdigest(text.encode(), h)
+    return (h - (h >> 63 << 64)) % buckets
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Hash partitions of postings, a power of two that grows with the session's partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 << min(12, max(4, parts.bit_length()))
+
+
+def placed_of(df: DataFrame, order: str, tokens: dict[str, Column]) -> DataFrame:
+    """(field, term, doc, at, length): every place of the token arrays of each document."""
     each = [F.struct(F.lit(n).alias("field"), t.alias("t")) for n, t in tokens.items()]
     flat = df.select(F.col(order).alias("doc"), F.explode(F.array(*each)).alias("f"))
     # The array is a column of its own, so that rows of the explosion don't carry it
     parts = flat.select("doc", "f.field", F.size("f.t").alias("length"), F.col("f.t").alias("t"))
-    placed = parts.select("doc", "field", "length", F.posexplode("t").alias("at", "term"))
-    return placed.groupBy("field", "term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
+    return parts.select("doc", "field", "length", F.posexplode("t").alias("at", "term"))
+
+
+def postings_of(placed: DataFrame, *keys: str) -> DataFrame:
+    """(field, term, doc, tf, positions, length), and further keys that follow from these."""
+    return placed.groupBy(*keys, "field", "term", "doc").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions"), F.first("length").alias("length"))
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:
@@ -44,35 +61,39 @@ def dictionary_of(postings: DataFrame) -> DataFrame:
 
 
 def statistics_of(postings: DataFrame) -> DataFrame:
-    """(field, docs, length): documents with a term in the field, and how many terms they have."""
-    return postings.groupBy("field").agg(F.count_distinct("doc").alias("docs"), F.sum("tf").alias("length"))
-
-
-def write(postings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Postings, dictionary and statistics under path; all three follow from the postings as written."""
-    spark = postings.sparkSession
-    keyed = postings.withColumn("bucket", bucket_of(F.col("field"), F.col("term"), buckets))
-    keyed = keyed.withColumn("doc", F.col("doc").cast("bigint"))
-    keyed.repartition("bucket").sortWithinPartitions("bucket", "field", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
+    """(field, docs, length): documents with a term in the field, told by their first place, and how many terms they have."""
+    return postings.groupBy("field").agg(F.count_if(F.get("positions", F.lit(0)) == 0).alias("docs"), F.sum("tf").alias("length"))
+
+
+def write(placed: DataFrame, path: str, buckets: int) -> None:
+    """Postings, dictionary and statistics under path; the latter two follow from the postings as written.
+
+    One exchange, by bucket and by a part of the documents, so that a term which nearly every
+    document has goes to many tasks; the aggregation by document then needs no other.
+    """
+    spark = placed.sparkSession
+    given = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-2 * given // buckets)) if given > buckets else 1
+    keyed = placed.select(bucket_of(F.col("field"), F.col("term"), buckets).alias("bucket"), F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part"), "field", "term", F.col("doc").cast("bigint").alias("doc"), "at", "length")
+    rows = postings_of(keyed.repartition("bucket", "part"), "bucket", "part").drop("part")
+    rows.sortWithinPartitions("bucket", "field", "term", "doc").write.partitionBy("bucket").parquet(f"{path}/postings")
     made = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
     dictionary_of(made).repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
-    # By document first, so that no field meets in one task as a whole
-    docs = made.groupBy("field", "doc").agg(F.sum("tf").alias("n")).groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("length"))
-    docs.coalesce(1).write.parquet(f"{path}/statistics")
+    statistics_of(made).coalesce(1).write.parquet(f"{path}/statistics")
 
 
 @dataclass(frozen=True)
 class Inverted:
-    """Read side. postings is None where several indexes share a dictionary only; gone: (doc) of deleted documents, or None."""
+    """What is read. postings is None where several indexes share a dictionary only."""
 
     postings: DataFrame | None
     dictionary: DataFrame
     statistics: DataFrame
     fields: tuple[str, ...]
-    buckets: int = BUCKETS
+    buckets: int
 
     @classmethod
-    def read(cls, spark, path: str, fields: Iterable[str], buckets: int = BUCKETS) -> Inverted:
+    def read(cls, spark: SparkSession, path: str, fields: Iterable[str], buckets: int) -> Inverted:
         return cls(spark.read.schema(_POSTINGS).parquet(f"{path}/postings"), spark.read.schema(_DICTIONARY).parquet(f"{path}/dictionary"), spark.read.schema(_STATISTICS).parquet(f"{path}/statistics"), tuple(fields), buckets)
 
     def has(self, field: str) -> bool:
@@ -87,13 +108,11 @@ class Inverted:
 
     def of_terms(self, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         """Postings of some (field, term): partitions and row groups of others aren't read."""
-        spark = self.dictionary.sparkSession
-        # Their partitions by the same hash, computed once for all terms
-        wanted = spark.range(1).select(*[bucket_of(F.lit(f), F.lit(t), self.buckets).alias(f"b{i}") for i, (f, t) in enumerate(pairs)]).first() if pairs else ()
         if not pairs:
             return self.postings.limit(0)
+        wanted = {bucket_number(f, t, self.buckets) for f, t in pairs}
         test = reduce(lambda a, b: a | b, [(F.col("field") == f) & (F.col("term") == t) for f, t in pairs])
-        return self.postings.where(F.col("bucket").isin(*sorted(set(wanted))) & test)
+        return self.postings.where(F.col("bucket").isin(*sorted(wanted)) & test)
 
 
 def merge(parts: Sequence[Inverted]) -> Inverted:

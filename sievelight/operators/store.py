@@ -159,11 +159,12 @@ class IndexStore:
         rows.write.parquet(f"{self.path}/{name}/docs")
         made = self.spark.read.parquet(f"{self.path}/{name}/docs")
         fields = {n: f for n, f in (self.fields or {}).items() if f.is_text and f.indexed and f.source in made.columns}
+        buckets = inv.buckets_for(made)
         if fields:
             index = Index(made, fields, ORD)
-            inv.write(inv.postings_of(made, ORD, {n: index.tokens(n) for n in fields}), f"{self.path}/{name}")
+            inv.write(index.places(fields), f"{self.path}/{name}", buckets)
         most = made.agg(F.max(ORD)).first()[0]
-        return {"name": name, "number": number, "texts": sorted(fields), "buckets": inv.BUCKETS}, max(base, base if most is None else most + 1)
+        return {"name": name, "number": number, "texts": sorted(fields), "buckets": buckets}, max(base, base if most is None else most + 1)
 
     def _bury(self, rows: DataFrame, m: dict) -> str:
         """Writes (ord, upto) of documents that go; only they are written, whatever the size of the index."""

@@ -154,23 +154,26 @@ def phrase_count(places: Mapping[str, Column], query: Q.Phrase) -> Column:
     def less(place: Column, k: int) -> Column:
         return F.transform(place, lambda p: (p - k).cast("int"))
 
+    def lows(at: Column) -> Column:
+        """Where a window of slop + 1 may begin to hold one of the places."""
+        return F.flatten(F.transform(at, lambda a: F.sequence(a - query.slop, a)))
+
     def within(place: Column, low: Column, a: int, b: int) -> Column:
         return F.size(F.filter(place, lambda p: p.between(low + a, low + b + query.slop)))
 
     shifted = [less(places[t], k) for k, t in enumerate(query.terms)]
     if not query.slop:
         return F.size(reduce(F.array_intersect, shifted))
+    # Sets by hash: windows that hold every term, of those the ones that begin at a term
+    fit = F.array_intersect(reduce(F.array_intersect, [lows(x) for x in shifted]), reduce(F.array_union, shifted))
+    twice = [(places[t], spots) for t in places if len(spots := [k for k, x in enumerate(query.terms) if x == t]) > 1]
+    if not twice:
+        return F.size(fit)
 
-    def fits(low: Column) -> Column:
-        tests = []
-        for term, place in places.items():
-            spots = [k for k, t in enumerate(query.terms) if t == term]
-            for i in range(len(spots)):
-                for j in range(i, len(spots)):
-                    tests.append(within(place, low, spots[i], spots[j]) > j - i)
-        return reduce(lambda a, b: a & b, tests)
+    def apart(low: Column) -> Column:
+        return reduce(lambda a, b: a & b, [within(place, low, spots[i], spots[j]) > j - i for place, spots in twice for i in range(len(spots)) for j in range(i, len(spots))])
 
-    return F.size(F.filter(reduce(F.array_union, shifted), lambda low: fits(low) & ~fits(low - 1)))
+    return F.size(F.filter(fit, apart))
 
 
 def _number(index: Index, field: Field, q: Q.NumberRange) -> Column:

@@ -50,7 +50,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_built: dict[tuple[str, str, str], str] = {}
+_built: dict[tuple[str, str, str], inv.Inverted] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, index: Index, build: bool = False) -> Index:
@@ -58,10 +58,10 @@ def stored(spark: SparkSession, sf_dir: str, index: Index, build: bool = False)
     key = spark.sparkContext.applicationId, sf_dir, index.name
     names = [n for n, f in index.fields.items() if f.is_text]
     if build or key not in _built:
-        path = f"{st.shared_folder(spark)}/index-{index.name}-{uuid.uuid4().hex}"
-        inv.write(index.postings(names), path)
-        _built[key] = path
-    return replace(index, inverted=inv.Inverted.read(spark, _built[key], names))
+        path, buckets = f"{st.shared_folder(spark)}/index-{index.name}-{uuid.uuid4().hex}", inv.buckets_for(index.df)
+        inv.write(index.places(names), path, buckets)
+        _built[key] = inv.Inverted.read(spark, path, names, buckets)
+    return replace(index, inverted=_built[key])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Index:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import string
 import warnings
 from dataclasses import dataclass, field, replace
 
@@ -66,6 +68,13 @@ def parse_index(text: str | None) -> str:
     return name if name in INDEX_OPTIONS else "none"
 
 
+def parse_date_format(text: str | None) -> str | None:
+    """A date format, if all its letters outside quotes stand for parts of a date; none otherwise."""
+    if not text or text.count("'") % 2:
+        return None
+    return text if set(re.sub(r"'[^']*'", "", text)) & set(string.ascii_letters) <= set("GyYMLwWDdFEuaHkKhmsSzZXVOQqe") else None
+
+
 def parse_numeric(text: str | None) -> str | None:
     return text.lower() if text and text.lower() in NUMERIC else None
 

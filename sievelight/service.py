@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.analysis import KEYWORD
 from .operators import facets as fc
 from .operators import search as se
 from .operators import terms as te
@@ -220,18 +221,21 @@ class Engine:
     def term_search(self, field: str, term: str, page: int = 1, results: int = 100, index: str | None = None) -> se.Results:
         return se.search(self.select(index), Q.Term(field, term), None, se.Page(page, results))
 
-    def predicate_search(self, predicate: str, tokenize: bool = True, page: int = 1, index: str | None = None, default: str | None = None) -> se.Results:
-        """The full predicate syntax, in ingest order; without a default field every word names its own."""
+    def predicate_search(self, predicate: str, tokenize: bool = True, page: int = 1, index: str | None = None, default: str | None = None, keywords: bool = False) -> se.Results:
+        """The full predicate syntax, in ingest order; without a default field every word names its own.
+
+        keywords: words are terms as they are, not cut and put in lower case.
+        """
         at = self.select(index)
         if tokenize and default is None and any(":" not in w for w in predicate.split() if w not in ("AND", "OR", "NOT") and '"' not in w):
             raise SyntaxFault("every word needs a field")
-        return se.search(at, parse_predicate(predicate, default), ["doc"], se.Page(page, 100))
+        return se.search(at, parse_predicate(predicate, default, KEYWORD if keywords else None), ["doc"], se.Page(page, 100))
 
-    def get_facets(self, base: str | None = None, facets: Sequence[str] | None = None, max_number: int = 20, index: str | None = None) -> DataFrame:
+    def get_facets(self, base: str | None = None, facets: Sequence[str] | None = None, max_number: int = 20, index: str | None = None, keywords: bool = False) -> DataFrame:
         """Facets of the named fields, or of all, under a base predicate whose default field is `type`."""
         if not base and not facets:
             raise ValueError("a base or facets are needed")
-        query = parse_predicate(base, "type") if base else None
+        query = parse_predicate(base, "type", KEYWORD if keywords else None) if base else None
         return fc.many(self.select(index), query, list(facets) if facets else None, max_number)
 
     def auto_suggest(self, term: str, fields: Sequence[str] = ("fulltext",), results: int = 10, terms: bool = False, return_fields: Sequence[str] = (), criteria_fields: Sequence[str] = (), criteria_values: Sequence[str] = (), weight: str = "", index: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.index import Index
@@ -45,6 +45,12 @@ def relative_path(root: str, path: str) -> str | None:
     return path[len(root) :] or "/" if path == root or path.startswith(root + "/") else None
 
 
+def relative_column(root: str, path: Column) -> Column:
+    """relative_path for a column."""
+    root = root.rstrip("/")
+    return F.when(path == root, "/").when(path.startswith(root + "/"), F.substring(path, len(root) + 1, 1 << 30))
+
+
 def media_type(path: str) -> str:
     return MEDIA.get(path.rpartition(".")[2].lower(), "application/octet-stream")
 

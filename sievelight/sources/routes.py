@@ -16,6 +16,11 @@ def is_valid_index_name(name: str | None) -> bool:
     return bool(name and NAME.fullmatch(name))
 
 
+def is_valid_name_column(name: Column) -> Column:
+    """is_valid_index_name for a column; null for null."""
+    return name.rlike(f"^{NAME.pattern}$")
+
+
 @dataclass(frozen=True)
 class Route:
     """An index name, fixed or with {name}, and the path of its content, with {name} in the same case."""
