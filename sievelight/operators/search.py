@@ -80,7 +80,7 @@ def _term_test(leaf: Query) -> Column:
 
 def _stored(index: Index, query: Query | None) -> list[Query]:
     """The nodes of a query that stored postings answer."""
-    return [q for q in dict.fromkeys(leaves(query)) if isinstance(q, _TERMS + _PATTERNS) and index.reads_postings([q.field]) and index.fields[q.field].is_text and not (isinstance(q, Q.Phrase) and not q.terms)]
+    return [q for q in dict.fromkeys(leaves(query)) if isinstance(q, _TERMS + _PATTERNS) and index.reads_postings([q.field]) and index.fields[q.field].is_text and not (isinstance(q, _TERMS) and not _pairs(q))]
 
 
 @dataclass(frozen=True)
@@ -155,15 +155,6 @@ def matches(index: Index, query: Query | None) -> DataFrame:
     return hits(index, query).df.select(*[f"`{c}`" for c in index.df.columns])
 
 
-def count(self, total: int) -> int:
-        return 1 if self.size <= 0 or total == 0 else (total - 1) // self.size + 1
-
-
-def matches(index: Index, query: Query | None) -> DataFrame:
-    """All documents that match, with all their columns; the caller aggregates."""
-    return index.df.where(predicate(query, index))
-
-
 def count(index: Index, query: Query | None) -> DataFrame:
     return matches(index, query).agg(F.count("*").alias("count"))
 

@@ -118,11 +118,16 @@ class IndexStore:
     def _documents(self, m: dict) -> DataFrame:
         if not m["segments"]:
             raise ValueError(f"{self.path} has no segment")
-        parts = [self.spark.read.parquet(f"{self.path}/{s['name']}/docs").withColumn("_seg", F.lit(s["number"])) for s in m["segments"]]
+        parts = [self._widened(self.spark.read.parquet(f"{self.path}/{s['name']}/docs")).withColumn("_seg", F.lit(s["number"])) for s in m["segments"]]
         docs = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         gone = self._tombstones(m)
         return docs if gone is None else docs.join(gone, (docs[ORD] == gone["__gone"]) & (docs["_seg"] <= gone["__upto"]), "left_anti")
 
+    def _widened(self, docs: DataFrame) -> DataFrame:
+        """A segment that was written before a field had several values has it as arrays of one."""
+        many = {f.source for f in (self.fields or {}).values() if f.multi}
+        return docs.select(*[F.when(F.col(f"`{f.name}`").isNotNull(), F.array(f"`{f.name}`")).alias(f.name) if f.name in many and not isinstance(f.dataType, T.ArrayType) else F.col(f"`{f.name}`") for f in docs.schema])
+
     def _tombstones(self, m: dict) -> DataFrame | None:
         if not m["tombstones"]:
             return None

@@ -112,6 +112,13 @@ class Catalog:
             return old
         return replace(old, doc_values=new.doc_values) if new.doc_values == "forced-none" else old
 
+    def widen(self, new: Field) -> Field:
+        """register, for which a field has several values as soon as one definition has."""
+        old = self.fields.get(new.name)
+        if old is not None and old.multi != new.multi:
+            self.fields[new.name], new = replace(old, multi=True), replace(new, multi=True)
+        return self.register(new)
+
     def is_tokenized(self, name: str) -> bool:
         return name in self.fields and self.fields[name].is_text
 

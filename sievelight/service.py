@@ -318,7 +318,7 @@ class Engine:
             fresh = fresh.join(F.broadcast(named), "__path").drop("__path")  # names of the files that changed
             fresh = fresh.withColumn("__at", F.monotonically_increasing_id())
             for f in fold_catalog(definitions(fresh, "__at"), batch.index).fields.values():
-                catalog.register(f)
+                catalog.widen(f)
             typed, warned = convert(fresh.drop("__at"), catalog)
             for w in warned.distinct().limit(20).collect():
                 self.listener.warn(batch, f"{w.name} can't be {w.value}")
@@ -393,7 +393,7 @@ class Engine:
             try:
                 out[key] = None if "fields" in mapping(sample).columns else "no column fields"
             except Exception as e:  # of a user's own mapping
-                out[key] = repr(e)
+                out[key] = f"{type(e).__name__}: {e}"
         return out
 
     def close(self) -> None:

@@ -45,8 +45,12 @@ def versions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def validate(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, problem): what the grammar of the current version doesn't allow, once for each file; no rows for valid files."""
-    found = tags(spark, path)
+    """(file, problem): what the grammar of the current version doesn't allow, once for each file; no rows for valid files.
+
+    Of files of the older version only the version itself is looked at.
+    """
+    heads = versions(spark, path)
+    found = tags(spark, path).join(heads.where(F.col("version") == VERSIONS[1]).select("file"), "file", "left_semi")
     tag = F.col("tag")
     kind = F.regexp_extract(tag, r"^([a-z]+)", 1)
     names = F.regexp_extract_all(F.regexp_replace(tag, r"""(?s)"[^"]*"|'[^']*'""", "''"), F.lit(r"([\w:-]+)\s*="), F.lit(1))
@@ -57,7 +61,6 @@ def validate(spark: SparkSession, path: str | list[str]) -> DataFrame:
         problems.append(F.when((kind == "field") & ~value.isin(*values), F.concat(F.lit(f"{a} can't be "), value)))
     each = F.filter(F.concat(F.array(*problems), F.transform(F.array_except(names, known), lambda a: F.concat(F.lit("no attribute "), a))), lambda p: p.isNotNull())
     inside = found.select("file", F.explode(each).alias("problem"))
-    heads = versions(spark, path)
     # Files whose outermost element is another have no version; they are told by the reader's own listing
     every = (spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))).select(_plain("file").alias("file"))
     both = every.join(heads.select(_plain("file").alias("file"), "version"), "file", "left")

@@ -51,14 +51,16 @@ def relative_column(root: str, path: Column) -> Column:
     return F.when(path == root, "/").when(path.startswith(root + "/"), F.substring(path, len(root) + 1, 1 << 30))
 
 
-def media_type(path: str) -> str:
-    return MEDIA.get(path.rpartition(".")[2].lower(), "application/octet-stream")
+def media_type(path: str, media: dict[str, str] = MEDIA) -> str:
+    """The media type of a file by its extension."""
+    return media.get(path.rpartition(".")[2].lower(), "application/octet-stream")
 
 
 class Translators:
     """Functions from bytes to text by media type; types that end in +xml are XML."""
 
-    def __init__(self) -> None:
+    def __init__(self, largest: int = LARGEST) -> None:
+        self.largest, self.media = largest, dict(MEDIA)
         self.by_type: dict[str, Callable[[bytes], str | None]] = {}
         self.binary: set[str] = set()
         for t in ("text/xml", "application/xml", "application/xhtml+xml", "text/plain", "text/csv"):
@@ -66,7 +68,7 @@ class Translators:
         self.register("text/html", lambda b: html_text(b.decode("utf-8", "replace")))
 
     def register(self, media: str, translate: Callable[[bytes], str | None], binary: bool = False) -> None:
-        """binary: contents beyond LARGEST bytes aren't translated."""
+        """binary: contents of more than `largest` bytes aren't translated."""
         self.by_type[media] = translate
         (self.binary.add if binary else self.binary.discard)(media)
 
@@ -79,7 +81,7 @@ class Translators:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                media = b["path"].map(media_type)
+                media = b["path"].map(lambda p: media_type(p, registry.media))
                 text, problem = zip(*[registry._one(m, c) for m, c in zip(media, b["content"])]) if len(b) else ((), ())
                 yield pd.DataFrame({"path": b["path"], "modified": b["modified"], "media": media, "text": list(text), "problem": list(problem)})
 
@@ -89,8 +91,8 @@ class Translators:
         translate = self.get(media)
         if translate is None:
             return None, "no translator"
-        if media in self.binary and len(content) > LARGEST:
-            return None, f"more than {LARGEST} bytes"
+        if media in self.binary and len(content) > self.largest:
+            return None, f"more than {self.largest} bytes"
         try:
             return translate(content), None
         except Exception as e:  # of a user's own translator: the file is reported, the rest goes on
