@@ -19,7 +19,7 @@ from .operators import search as se
 from .operators import store as st
 from .operators import suggest as su
 from .operators import terms as te
-from .operators.index import Index, union
+from .operators.index import Index
 from .plans import language as la
 from .plans import nodes as Q
 from .queries import P0, T0, customers, events, orders, parts, plain_documents, read
@@ -211,13 +211,6 @@ def postings_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return te.dictionary(store.index(), "text").select("term", F.col("count").alias("n"))
 
 
-@add("SELECT name, CASE WHEN name = 'k' THEN 'int' ELSE 'keyword' END AS type FROM (SELECT DISTINCT unnest(json_keys(props)) AS name FROM events)")
-def catalog_of_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .queries import catalog_fold
-
-    return catalog_fold(spark, sf_dir)
-
-
 @add("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS a, event_id % 7 AS b FROM events")
 def converted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values that can't be read leave their field out; a later one that can be counts."""
@@ -343,7 +336,7 @@ def phrase_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.bm25(documents(spark, sf_dir), Q.Phrase("text", ("of", "the"))).select("doc_id", F.round("score", 4).alias("score"))
 
 
-@add(_PHRASE.replace("SELECT doc_id, round", "SELECT doc_id, round"))
+@add(_PHRASE)
 def phrase_score_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same without a stored index."""
     return se.bm25(plain_documents(spark, sf_dir), Q.Phrase("text", ("of", "the"))).select("doc_id", F.round("score", 4).alias("score"))
@@ -464,7 +457,7 @@ _LIKE = (
 
 
 @add(_LIKE)
-def documents_alike(spark: SparkSession, sf_dir: str) -> DataFrame:
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents like the first one, by its weightiest terms."""
     from .queries import documents
 
@@ -619,7 +612,3 @@ def service_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = Config.from_keys({"index.types": "a,broken", "index.a.path": "/x/a", "watcher.watch": "true", "watcher.delay": "2"})
     return spark.createDataFrame([(c.routes[0].name, c.routes[0].path, c.watch, ",".join([c.routes[0].name, *c.ignored]), int(c.delay.split()[0]))], "index string, path string, watched boolean, names string, seconds bigint")
-
-
-def both(spark: SparkSession, sf_dir: str) -> Index:
-    return union(parts(spark, sf_dir), orders(spark, sf_dir))
