@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from . import sketch
 from .graph import cut
 from .exchange import ROW, Packer, blocks, exchanged, parts_of, rows_of, unpack
-from .text import chunked, lower, mix64, ranges, ship, span_hashes, utf8, whole, word_spans
+from .text import chunked, coded, lower, mix64, ranges, ship, span_hashes, utf8, whole, word_spans
 
 THRESHOLD = 0.8
 _LEAD = np.uint32(1 << 31)
@@ -55,7 +55,7 @@ def line_words(column: pa.Array, rank: Callable[[np.ndarray], np.ndarray] | None
     raw, off = utf8(lower(column))
     feed = np.flatnonzero(raw == 10)
     start, end = word_spans(raw, off, True)
-    word, which = np.unique(span_hashes(raw, start, end), return_inverse=True)
+    word, which = coded(span_hashes(raw, start, end))
     if rank is not None and len(word):
         order = np.argsort(rank(word), kind="stable")
         place = np.empty(len(word), np.int64)
@@ -77,7 +77,7 @@ def line_words(column: pa.Array, rank: Callable[[np.ndarray], np.ndarray] | None
 
 def word_hashes(column: pa.Array) -> np.ndarray:
     raw, off = utf8(lower(column))
-    return span_hashes(raw, *word_spans(raw, np.union1d(off, np.flatnonzero(raw == 10)), True))
+    return span_hashes(raw, *word_spans(raw, off, True))
 
 
 _PREFIX = [("word", np.uint64), ("doc", np.int64), ("line", np.int32), ("set", np.uint64), ("bits", np.uint64), ("more", np.uint64), ("n", np.int32), ("pos", np.uint32)]
@@ -242,9 +242,10 @@ def jaccard(a: pa.Array, b: pa.Array) -> np.ndarray:
     na, nb = np.diff(xo) // 8, np.diff(yo) // 8
     value = np.concatenate([np.frombuffer(x.tobytes(), np.uint64), np.frombuffer(y.tobytes(), np.uint64)])
     pair = np.concatenate([np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)])
-    order = np.lexsort((value, pair))
-    value, pair = value[order], pair[order]
-    shared = np.bincount(pair[1:][(value[1:] == value[:-1]) & (pair[1:] == pair[:-1])], minlength=len(na))
+    distinct, which = coded(value)
+    # One number for pair and hash, so that equal ones come side by side
+    both = np.sort(pair * max(1, len(distinct)) + which)
+    shared = np.bincount(both[1:][both[1:] == both[:-1]] // max(1, len(distinct)), minlength=len(na))
     return shared / np.maximum(na + nb - shared, 1)
 
 

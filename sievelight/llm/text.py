@@ -83,23 +83,40 @@ def _byte_codes(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 256, np.uint64)
 
 
+#: Bytes of a span that are hashed eight at a time; longer spans are hashed by sums over their bytes.
+_SHORT = 256
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 11) -> np.ndarray:
-    """A 64-bit hash of each byte span raw[start:end], starts ascending; equal bytes give equal hashes."""
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):  # by segments, so that the arrays for a very long text stay small
-        low = start[at]
-        stop = max(at + 1, int(np.searchsorted(start, low + SEGMENT_BYTES)))
-        s, e = start[at:stop] - low, end[at:stop] - low
-        size = int(e.max()) if stop - at > 1 else int(e[0])
-        up, down = powers(size + 1)
-        acc = np.zeros(size + 1, np.uint64)
-        np.cumsum(_byte_codes(seed)[raw[low : low + size]] * up[:size], out=acc[1:])
-        out[at:stop] = mix64((acc[e] - acc[s]) * down[s] + (e - s).astype(np.uint64))
-        at = stop
+    """A 64-bit hash of each byte span raw[start:end]; equal bytes give equal hashes."""
+    size = end - start
+    out = mix64(size.astype(np.uint64) * _P + _byte_codes(seed)[0])
+    if not len(start):
+        return out
+    # Eight bytes from any place on, as a number
+    at = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix64(out ^ (at[start] & _LOW[np.minimum(size, 8)]))
+    rest, done = np.flatnonzero((size > 8) & (size <= _SHORT)), 8
+    while len(rest):
+        part = at[start[rest] + done] & _LOW[np.minimum(size[rest] - done, 8)]
+        out[rest] = mix64((out[rest] + _P) ^ part)
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > _SHORT):
+        out[i] = _long_hash(raw[start[i] : end[i]], seed)
     return out
 
 
+def _long_hash(raw: np.ndarray, seed: int) -> np.uint64:
+    total = np.uint64(len(raw))
+    up, _ = powers(min(len(raw), SEGMENT_BYTES))
+    for low in range(0, len(raw), SEGMENT_BYTES):
+        part = raw[low : low + SEGMENT_BYTES]
+        total = mix64(np.array([total + (_byte_codes(seed)[part] * up[: len(part)]).sum(dtype=np.uint64)]))[0]
+    return total
+
+
 def _classes(plain: bool) -> np.ndarray:
     """True for bytes that end a word: white space, or all ASCII but letters and digits."""
     sep = np.zeros(256, bool)
@@ -111,7 +128,8 @@ def _classes(plain: bool) -> np.ndarray:
     return sep
 
 
-_SPACE, _PLAIN = _classes(False), _classes(True)
+#: For bytes.translate: 1 for bytes of words.
+_SPACE, _PLAIN = ((~_classes(p)).astype(np.uint8).tobytes() for p in (False, True))
 
 
 def word_spans(raw: np.ndarray, breaks: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -120,15 +138,26 @@ def word_spans(raw: np.ndarray, breaks: np.ndarray, plain: bool) -> tuple[np.nda
     plain: words are runs of ASCII letters and digits and of all other characters beyond
     ASCII, else runs of anything but ASCII white space.
     """
-    inside = ~(_PLAIN if plain else _SPACE)[raw]
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
+    if not len(raw):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = np.frombuffer(raw.tobytes().translate(_PLAIN if plain else _SPACE), bool)
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edge = np.concatenate([np.zeros(int(inside[0]), np.int64), edge, np.full(int(inside[-1]), len(raw))])
     inner = breaks[(breaks > 0) & (breaks < len(raw))]
-    start[inner] = inside[inner]
-    end = inside.copy()
-    end[:-1] &= ~inside[1:]
-    end[inner - 1] = inside[inner - 1]
-    return np.flatnonzero(start), np.flatnonzero(end) + 1
+    both = np.unique(inner[inside[inner] & inside[inner - 1]])
+    if len(both):
+        edge = np.insert(edge, np.repeat(np.searchsorted(edge, both), 2), np.repeat(both, 2))
+    return edge[::2], edge[1::2]
+
+
+def coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, in ascending order; the place of each value among them)."""
+    code = pa.array(values).dictionary_encode()
+    distinct = code.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], place[code.indices.to_numpy()]
 
 
 def lower(column: pa.Array) -> pa.Array:
