@@ -198,28 +198,31 @@ def bm25(index: Index, query: Query) -> DataFrame:
     if not terms:
         found = hits(index, query)
         return found.df.select(*[f"`{c}`" for c in plain], _score(query, index, found.known, {}, {}).alias("score"))
-    stored = index.reads_postings(names) and all(index.fields[n].is_text for n in names)
+    stored = [n for n in names if index.fields[n].is_text and index.reads_postings([n])]
+    rest = [n for n in names if n not in stored]
+    found = hits(index, query, scored=True)
+    known, tf, phrases, length, df = found.known, dict(found.tf), dict(found.phrases), dict(found.lengths), found.df
+    stats: list[DataFrame] = []
     if stored:
-        found = hits(index, query, scored=True)
-        known, tf, phrases, length = found.known, found.tf, found.phrases, found.lengths
-        df = found.df
-        counts = index.inverted.of_terms(terms).groupBy("field", "term").agg(F.count("*").alias("df"))
-        one = index.inverted.statistics.agg(*[x for i, n in enumerate(names) for x in (F.max(F.when(F.col("field") == n, F.col("length") / F.col("docs"))).alias(f"__avg{i}"), F.max(F.when(F.col("field") == n, F.col("docs"))).cast("double").alias(f"__n{i}"))])
-        more = counts.agg(*[F.coalesce(F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col("df"))), F.lit(0)).cast("double").alias(f"__df{k}") for k, (f, t) in enumerate(terms)])
-        stats = one.crossJoin(F.broadcast(more))  # one row each
-    else:
-        with_tokens = {n: F.col(f"__t{i}") for i, n in enumerate(names)}
-        narrow = index.df.select(*[index.tokens(n).alias(f"__t{i}") for i, n in enumerate(names)])
-        stats = narrow.agg(
-            *[F.avg(F.nullif(F.size(f"__t{i}"), F.lit(0))).alias(f"__avg{i}") for i in range(len(names))],
-            *[F.count_if(F.size(f"__t{i}") > 0).cast("double").alias(f"__n{i}") for i in range(len(names))],
-            *[F.count_if(F.array_contains(with_tokens[f], t)).cast("double").alias(f"__df{k}") for k, (f, t) in enumerate(terms)],
+        own = [(k, p) for k, p in enumerate(terms) if p[0] in stored]
+        counts = index.inverted.of_terms([p for _, p in own]).groupBy("field", "term").agg(F.count("*").alias("df"))
+        of = lambda n, c: F.max(F.when(F.col("field") == n, c))
+        stats.append(index.inverted.statistics.agg(*[x for n in stored for x in (of(n, F.col("length") / F.col("docs")).alias(f"__avg{names.index(n)}"), of(n, F.col("docs")).cast("double").alias(f"__n{names.index(n)}"))]))
+        stats.append(counts.agg(*[F.coalesce(F.max(F.when((F.col("field") == f) & (F.col("term") == t), F.col("df"))), F.lit(0)).cast("double").alias(f"__df{k}") for k, (f, t) in own]))
+    if rest:
+        tokens = {n: F.col(f"__t{names.index(n)}") for n in rest}
+        narrow = index.df.select(*[index.tokens(n).alias(f"__t{names.index(n)}") for n in rest])
+        stats.append(
+            narrow.agg(
+                *[F.avg(F.nullif(F.size(c), F.lit(0))).alias(f"__avg{names.index(n)}") for n, c in tokens.items()],
+                *[F.count_if(F.size(c) > 0).cast("double").alias(f"__n{names.index(n)}") for n, c in tokens.items()],
+                *[F.count_if(F.array_contains(tokens[f], t)).cast("double").alias(f"__df{k}") for k, (f, t) in enumerate(terms) if f in tokens],
+            )
         )
-        df = matches(index, query).withColumns({f"__t{i}": index.tokens(n) for i, n in enumerate(names)})
-        tf = {(f, t): F.size(with_tokens[f]) - F.size(F.array_remove(with_tokens[f], t)) for f, t in terms}
-        length = {n: F.size(c) for n, c in with_tokens.items()}
-        known = {}
-        phrases = {q: phrase_count(token_places(with_tokens[q.field], q.terms), q) for q in leaves(query) if isinstance(q, Q.Phrase) and len(q.terms) > 1 and q.field in with_tokens}
+        df = df.withColumns({f"__t{names.index(n)}": index.tokens(n) for n in rest})
+        tf |= {(f, t): F.size(tokens[f]) - F.size(F.array_remove(tokens[f], t)) for f, t in terms if f in tokens}
+        length |= {n: F.size(c) for n, c in tokens.items()}
+        phrases |= {q: phrase_count(token_places(tokens[q.field], q.terms), q) for q in leaves(query) if isinstance(q, Q.Phrase) and len(q.terms) > 1 and q.field in tokens}
 
     def idf(p: tuple[str, str]) -> Column:
         n, d = F.col(f"__n{names.index(p[0])}"), F.col(f"__df{terms.index(p)}")
@@ -238,7 +241,9 @@ def bm25(index: Index, query: Query) -> DataFrame:
                 each = [idf(p) * saturated(tf[p], p[0]) for p in _pairs(q)]
                 parts[q] = reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0.0)) for x in each]) if each else F.lit(0.0)
     score = _score(query, index, known, parts, phrases)
-    return df.crossJoin(F.broadcast(stats)).select(*[f"`{c}`" for c in plain], score.alias("score"))  # one row
+    # One row each
+    with_stats = reduce(lambda left, right: left.crossJoin(F.broadcast(right)), stats, df)
+    return with_stats.select(*[f"`{c}`" for c in plain], score.alias("score"))
 
 
 def _score(query: Query | None, index: Index, known: dict, parts: dict[Query, Column], phrases: dict) -> Column:
