@@ -18,7 +18,8 @@ class Index:
     """df with one row per document; `order` is the column of ingest order, which tells documents apart.
 
     inverted: the stored inverted index of its text fields, where there is one; queries on these
-    fields then read postings instead of texts, with the same results.
+    fields then read postings instead of texts, with the same results. parts: the indexes that it is
+    made of, where these are several.
     """
 
     df: DataFrame
@@ -26,6 +27,7 @@ class Index:
     order: str
     name: str = "index"
     inverted: Inverted | None = None
+    parts: tuple[Index, ...] = ()
 
     @classmethod
     def of(cls, df: DataFrame, order: str, *fields: Field, name: str = "index") -> Index:
@@ -84,7 +86,7 @@ class Index:
 
     def where(self, condition: Column) -> Index:
         """The documents for which a condition on their columns holds; the stored index goes on holding all."""
-        return replace(self, df=self.df.where(condition), inverted=None)
+        return replace(self, df=self.df.where(condition), inverted=None, parts=())
 
 
 def union(*indexes: Index) -> Index:
@@ -96,4 +98,4 @@ def union(*indexes: Index) -> Index:
         fields = {**i.fields, **fields}
     # Documents of several indexes may share a number, so only their dictionaries are taken together
     inverted = replace(merge([i.inverted for i in indexes]), postings=None) if all(i.inverted is not None for i in indexes) else None
-    return Index(df, fields, indexes[0].order, "+".join(i.name for i in indexes), inverted)
+    return Index(df, fields, indexes[0].order, "+".join(i.name for i in indexes), inverted, tuple(indexes))

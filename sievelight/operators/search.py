@@ -151,7 +151,10 @@ def _needs(query: Query | None, own: set[Query]) -> bool:
 
 
 def matches(index: Index, query: Query | None) -> DataFrame:
-    """All documents that match, with all their columns; the caller aggregates."""
+    """All documents that match, with all their columns; the caller aggregates. Each of several indexes is searched by its own postings."""
+    if index.parts and any(_stored(p, query) for p in index.parts):
+        each = [matches(p, query).withColumn("index_id", F.lit(p.name)) for p in index.parts]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), each).select(*[f"`{c}`" for c in index.df.columns])
     return hits(index, query).df.select(*[f"`{c}`" for c in index.df.columns])
 
 

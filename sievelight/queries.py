@@ -72,6 +72,11 @@ def plain_documents(spark: SparkSession, sf_dir: str) -> Index:
     return Index.of(read(spark, sf_dir, "documents"), "doc_id", Field("text"), Field("lang", "keyword"), Field("source", "keyword"), Field("n_chars", "long"), name="documents")
 
 
+def talks(spark: SparkSession, sf_dir: str) -> Index:
+    turns = read(spark, sf_dir, "conversations").select(F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
+    return stored(spark, sf_dir, Index.of(turns, "doc_id", Field("text"), name="conversations"))
+
+
 def parts(spark: SparkSession, sf_dir: str) -> Index:
     return Index.of(read(spark, sf_dir, "part"), "p_partkey", Field("name", column="p_name"), Field("name_exact", "keyword", "p_name"), Field("brand", "keyword", "p_brand"), Field("type", "keyword", "p_type"), Field("size", "int", "p_size"), Field("price", "double", "p_retailprice"), name="parts")
 
@@ -281,8 +286,7 @@ def facet_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add(f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({T0})) AS term FROM documents UNION ALL SELECT unnest(list_distinct({T0})) FROM conversations) GROUP BY 1 ORDER BY n DESC, term LIMIT 20")
 def facet_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talk = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), F.xxhash64("conv_id", "turn").alias("doc_id"), "text")
-    both = union(documents(spark, sf_dir), stored(spark, sf_dir, Index.of(talk, "doc_id", Field("text"), name="conversations")))
+    both = union(documents(spark, sf_dir), talks(spark, sf_dir))
     return fc.FieldFacet("text").values(both, size=20).withColumnRenamed("count", "n")
 
 

@@ -19,7 +19,7 @@ from .operators import search as se
 from .operators import store as st
 from .operators import suggest as su
 from .operators import terms as te
-from .operators.index import Index
+from .operators.index import Index, union
 from .plans import language as la
 from .plans import nodes as Q
 from .queries import P0, T0, customers, events, orders, parts, plain_documents, read
@@ -590,6 +590,23 @@ def service_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return se.matches(at.select("parts,other"), Q.Term("brand", "Brand#12")).groupBy("index_id").agg(F.count("*").alias("n"))
 
 
+@add(f"SELECT 'documents' AS index_id, count(*) AS n FROM documents WHERE list_contains({T0}, 'the') UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE list_contains({T0}, 'the')")
+def multi_index_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word in two indexes, each by its own postings."""
+    from .queries import documents, talks
+
+    both = union(documents(spark, sf_dir), talks(spark, sf_dir))
+    return se.matches(both, Q.Term("text", "the")).groupBy("index_id").agg(F.count("*").alias("n"))
+
+
+@add(f"SELECT field, term, n FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, term) AS k FROM (SELECT 'text' AS field, term, count(*) AS n FROM (SELECT unnest(list_distinct({T0})) AS term FROM documents WHERE lang = 'de') GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM documents WHERE lang = 'de' GROUP BY 2)) WHERE k <= 10")
+def facets_of_texts_and_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets of a text field, from postings, and of a keyword field under one query."""
+    from .queries import documents
+
+    return fc.many(documents(spark, sf_dir), Q.Term("lang", "de"), ["text", "source"]).select("field", "term", F.col("count").alias("n"))
+
+
 @add("SELECT 3::BIGINT AS pages, count(*) AS total, false AS empty FROM part WHERE p_size <= 2")
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a page of results knows of all of them."""
