@@ -424,7 +424,7 @@ def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add("SELECT * FROM (VALUES ('docs', 'int', 'sorted-numeric', 'DAY', 'yyyy-MM-dd'), ('docs-and-freqs-and-positions-and-offsets', NULL, 'none', 'HOUR', NULL)) t(a, b, c, d, e)")
-def option_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+def names_of_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .schema import parse_date_format, parse_doc_values, parse_index, parse_numeric
 
     rows = [(parse_index(a), parse_numeric(b), parse_doc_values(c, True), D.Resolution.of(d).name, parse_date_format(e)) for a, b, c, d, e in (("DOCS", "INT", "sorted", "odd", "yyyy-MM-dd"), (None, "decimal", "x", "hour", "yyyy-bb'"))]
