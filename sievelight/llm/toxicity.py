@@ -47,7 +47,6 @@ TURNS, STEPS, BATCH, RATE, DECAY = 3, 500, 2048, 0.1, 1e-4
 #: How often an error in a clean document counts for the threshold: such documents are the most.
 CLEAN = 10
 CACHED = 1 << 19
-_DOCS = 128  # texts whose n-grams are told apart at once
 
 
 def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -81,13 +80,23 @@ def _passages(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin, parts) + PASSAGE * ranges(parts), np.repeat(np.arange(n), parts)
 
 
+def _among(values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, in order; the place of each value among them) of numbers below size, without a sort."""
+    there = np.zeros(size, bool)
+    there[values] = True
+    some = np.flatnonzero(there)
+    place = np.empty(size, np.int64)
+    place[some] = np.arange(len(some))
+    return some, place[values]
+
+
 def gradients(table: np.ndarray, out: np.ndarray, rows: np.ndarray, many: np.ndarray, shrink: np.ndarray, word: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(table rows, gradient of each, gradient of out) of the weighted cross entropy of passages.
 
     word: the words of one passage after the other, `size` of them each; rows and many are those
     of all distinct words; a row's vector counts by `shrink`.
     """
-    distinct, which = np.unique(word, return_inverse=True)
+    distinct, which = _among(word, len(many))
     first = (np.cumsum(many) - many)[distinct]
     n = many[distinct]
     row = rows[np.repeat(first, n) + ranges(n)]
@@ -102,7 +111,7 @@ def gradients(table: np.ndarray, out: np.ndarray, rows: np.ndarray, many: np.nda
     p[np.arange(len(size)), label] -= 1
     p *= weight[:, None]
     down = np.repeat(p @ out.T, size, axis=0) * share[:, None]
-    of_row, place = np.unique(row, return_inverse=True)
+    of_row, place = _among(row, len(table))
     grad = np.empty((len(of_row), table.shape[1]), np.float32)
     for k in range(table.shape[1]):
         by_word = np.bincount(which, down[:, k], len(distinct))
@@ -154,15 +163,14 @@ def document_scores(which: np.ndarray, doc: np.ndarray, n: int, word: np.ndarray
 
 
 def _doc_counts(w: Words, rows: np.ndarray, many: np.ndarray, n: int) -> np.ndarray:
-    """In how many of n texts each row's n-grams are, _DOCS texts at a time, each in one of the turns."""
+    """In how many of n texts each row stands."""
     first = np.cumsum(many) - many
     out = np.zeros(ROWS, np.int32)
-    for lo in range(0, n, _DOCS):
-        i, j = np.searchsorted(w.doc, [lo, lo + _DOCS])
-        pair = np.unique((w.doc[i:j] - lo) * len(w.key) + w.which[i:j])
-        word, at = pair % len(w.key), pair // len(w.key)
-        seen = np.unique(np.repeat(at, many[word]) * ROWS + rows[np.repeat(first[word], many[word]) + ranges(many[word])])
-        out += np.bincount(seen % ROWS, minlength=ROWS).astype(np.int32)
+    edge = np.searchsorted(w.doc, np.arange(n + 1))
+    for lo, hi in zip(edge[:-1], edge[1:]):
+        word, _ = _among(w.which[lo:hi], len(many)) if hi - lo > 1 << 12 else (np.unique(w.which[lo:hi]), None)
+        # A row that comes twice here still counts once
+        out[rows[np.repeat(first[word], many[word]) + ranges(many[word])]] += 1
     return out
 
 
