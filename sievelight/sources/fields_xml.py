@@ -44,13 +44,22 @@ def versions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return heads.groupBy("file").agg(F.max(_attribute(F.col("tag"), "version")).alias("version"), F.max(_attribute(F.col("tag"), "timezone")).alias("timezone"))
 
 
+#: Files whose heads are sent to all tasks, at most; of more, documents are joined to them through an exchange.
+FILES = 100_000
+
+
+def _sent(heads: DataFrame, files: int) -> DataFrame:
+    """Heads for a join by file, without moving the documents of a file to one task."""
+    return F.broadcast(heads) if files <= FILES else heads
+
+
 def validate(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, problem): what the grammar of the current version doesn't allow, once for each file; no rows for valid files.
 
     Of files of the older version only the version itself is looked at.
     """
     heads = versions(spark, path)
-    found = tags(spark, path).join(heads.where(F.col("version") == VERSIONS[1]).select("file"), "file", "left_semi")
+    found = tags(spark, path).join(_sent(heads.where(F.col("version") == VERSIONS[1]).select("file"), heads.count()), "file", "left_semi")
     tag = F.col("tag")
     kind = F.regexp_extract(tag, r"^([a-z]+)", 1)
     names = F.regexp_extract_all(F.regexp_replace(tag, r"""(?s)"[^"]*"|'[^']*'""", "''"), F.lit(r"([\w:-]+)\s*="), F.lit(1))
@@ -89,12 +98,12 @@ def read(spark: SparkSession, path: str | list[str], version: str | None = None,
     raw = spark.read.format("xml").option("rowTag", "document").option("ignoreSurroundingSpaces", "false").schema(SCHEMA).load(path)
     raw = raw.select("field", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
     heads = versions(spark, path)
-    if version is None:
-        bad = heads.where(F.col("version").isNull() | ~F.col("version").isin(*VERSIONS)).first()
-        if bad is not None:
-            raise UnknownVersion(f"{bad.file}: version {bad.version} isn't one of {', '.join(VERSIONS)}")
+    unknown = F.col("version").isNull() | ~F.col("version").isin(*VERSIONS)
+    all_heads = heads.agg(F.count("*").alias("files"), F.min(F.when(unknown, F.struct("file", "version"))).alias("bad")).first()
+    if version is None and all_heads.bad is not None:
+        raise UnknownVersion(f"{all_heads.bad.file}: version {all_heads.bad.version} isn't one of {', '.join(VERSIONS)}")
     given = heads.select(F.col("file").alias("__file"), F.col("version").alias("__version"), F.col("timezone").alias("__zone"))
-    raw = raw.join(given, F.col("file") == F.col("__file"), "left")
+    raw = raw.join(_sent(given, all_heads.files), F.col("file") == F.col("__file"), "left")
     is_current = F.lit(version == VERSIONS[1]) if version else F.coalesce(F.col("__version"), F.lit("")) == VERSIONS[1]
     zone = F.lit(timezone) if timezone else F.coalesce("__zone", F.lit("GMT"))
     x = lambda c, a: c[f"_{a}"]
@@ -157,8 +166,12 @@ def to_xml(df: DataFrame, element: str = "document") -> DataFrame:
     return df.select(F.concat(F.lit(f"<{element}>"), *[of(f) for f in df.schema], F.lit(f"</{element}>")).alias("xml"))
 
 
-def write_records(df: DataFrame, path: str, definitions: dict[str, str] | None = None, version: str = "5.0", timezone: str | None = None) -> None:
-    """Rows as files of field records that `read` takes; definitions: further attributes of a field, as XML."""
+#: Characters of records in a file that write_records makes, so that neither its writer nor a task that reads it, which takes files whole, follows the size of a partition.
+FILE = 16 << 20
+
+
+def write_records(df: DataFrame, path: str, definitions: dict[str, str] | None = None, version: str = "5.0", timezone: str | None = None, most: int = FILE) -> None:
+    """Rows as files of field records that `read` takes, each of about `most` characters or one record; definitions: further attributes of a field, as XML."""
     more = definitions or {}
     rows = to_xml(df)
     for name, attributes in more.items():
@@ -168,10 +181,22 @@ def write_records(df: DataFrame, path: str, definitions: dict[str, str] | None =
     def whole(batches):
         import pandas as pd
 
-        parts = [x for b in batches for x in b["xml"]]
-        yield pd.DataFrame({"value": [f'<documents version="{version}"{zone}>' + "\n".join(parts) + "</documents>"]})
-
-    rows.mapInPandas(whole, "value string").write.mode("overwrite").text(path)
+        def file(parts):
+            return pd.DataFrame({"value": [f'<documents version="{version}"{zone}>' + "\n".join(parts) + "</documents>"]})
+
+        parts, size, made = [], 0, False
+        for b in batches:
+            for x in b["xml"]:
+                if parts and size + len(x) > most:
+                    yield file(parts)
+                    parts, size, made = [], 0, True
+                parts.append(x)
+                size += len(x)
+        if parts or not made:
+            yield file(parts)
+
+    # A row is a file
+    rows.mapInPandas(whole, "value string").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
 def write(df: DataFrame, path: str) -> None:

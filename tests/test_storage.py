@@ -200,3 +200,23 @@ def test_dates(spark):
     iso = spark.createDataFrame([("20150512",), ("201505",), ("20150512171533",), ("2015x",)], "s string").select(D.string_to_iso(F.col("s"))).collect()
     assert [r[0] for r in iso] == ["2015-05-12", "2015-05", "2015-05-12T17:15:33Z", None]
     assert D.step_after(datetime(2015, 12, 31), R.MONTH).year == 2016
+
+
+def test_records_go_to_files_of_bounded_size(spark, tmp_path):
+    """A partition of records is several files, each whole by itself, which are read without an exchange by file."""
+    from sievelight.sources import fields_xml as xml
+
+    rows = [(i, "long " * 50 if i == 77 else f"a <b> & {i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "n bigint, t string").coalesce(1)
+    xml.write_records(df, str(tmp_path / "r"), {"n": 'numeric-type="long"'}, most=1000)
+    files = sorted((tmp_path / "r").glob("part-*.txt"))
+    assert len(files) > 10 and all(f.stat().st_size < 1400 for f in files)
+    assert all(f.read_text().startswith('<documents version="5.0">') and f.read_text().rstrip().endswith("</documents>") for f in files)
+    back = xml.read(spark, str(tmp_path / "r"))
+    got = back.select(F.col("fields")[0]["value"].cast("long").alias("n"), F.col("fields")[1]["value"].alias("t")).collect()
+    assert sorted(map(tuple, got)) == rows
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert xml.validate(spark, str(tmp_path / "r")).count() == 0
+    xml.write_records(df.limit(0), str(tmp_path / "none"))
+    assert xml.read(spark, str(tmp_path / "none")).count() == 0 and xml.validate(spark, str(tmp_path / "none")).count() == 0
