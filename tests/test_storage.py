@@ -220,3 +220,19 @@ def test_records_go_to_files_of_bounded_size(spark, tmp_path):
     assert xml.validate(spark, str(tmp_path / "r")).count() == 0
     xml.write_records(df.limit(0), str(tmp_path / "none"))
     assert xml.read(spark, str(tmp_path / "none")).count() == 0 and xml.validate(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_postings_of_documents_that_went(spark, tmp_path, monkeypatch):
+    """By bits, without an exchange of postings by document, and by a join where there are too many blocks."""
+    numbers = [*range(0, 200), 2**33, 2**33 + 63, 2**33 + 64, 2**40 - 1]
+    went = [0, 1, 62, 63, 64, 127, 128, 199, 2**33 + 63, 2**40 - 1, 1000]
+    postings = spark.createDataFrame([("t", f"w{d % 3}", d) for d in numbers], "field string, term string, doc bigint")
+    gone = spark.createDataFrame([(d,) for d in [*went, 64]], "__gone bigint")
+    want = sorted(set(numbers) - set(went))
+    for blocks in (st.BLOCKS, 2):
+        monkeypatch.setattr(st, "BLOCKS", blocks)
+        left = st.without_gone(postings, gone)
+        assert left.columns == ["field", "term", "doc"] if blocks > 2 else set(left.columns) == {"field", "term", "doc"}
+        assert sorted(r.doc for r in left.collect()) == want
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan and "hashpartitioning(doc" not in plan) or blocks == 2
